@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import line_dedup, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, warc
+from opsloom.llm import graph_ann, line_dedup, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, warc
 
 #: The model of op9 and of the pipeline's last stage; the file is read where it is installed.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,6 +54,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed_lines", "n_removed_chunks", F.sha1(F.encode("text", "utf-8")).alias("text_digest"))
 
 
+def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("k").alias("doc_id"), F.col("first_k").alias("first_doc_id"), F.col("start").alias("start_byte"), F.col("size").alias("n_bytes"))
@@ -64,6 +69,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_graph_ann": op1_graph_ann,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
