@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import graph_ann, line_dedup, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, warc
+from opsloom.llm import graph_ann, line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, warc
 
 #: The model of op9 and of the pipeline's last stage; the file is read where it is installed.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,6 +22,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.apply(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages")).where("not gap")
     return found.select(
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
