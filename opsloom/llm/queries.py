@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import graph_ann, line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, warc
+from opsloom.llm import graph_ann, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, warc
 
 #: The model of op9 and of the pipeline's last stage; the file is read where it is installed.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -64,6 +64,12 @@ def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = mixing.apply(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
+    return out.withColumnsRenamed({f"p_{k}": f"p_{name}" for k, name in enumerate(mixing.DOMAINS)})
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("k").alias("doc_id"), F.col("first_k").alias("first_doc_id"), F.col("start").alias("start_byte"), F.col("size").alias("n_bytes"))
@@ -75,6 +81,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_ann": op1_graph_ann,
+    "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
