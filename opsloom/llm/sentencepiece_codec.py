@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 LONG_UNIT = 64
 #: Units and pairs of pieces remembered in a worker at most; then it begins anew.
 REMEMBERED = 500_000
+_SLOT_BITS = 20
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -119,6 +121,8 @@ class Codec:
         self.low = min(model.scores, default=0.0) - 10.0  # what the public library takes for an unknown character
         self.units: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        # the pairs met last, by a hash of theirs: whole arrays of pairs are looked up at once
+        self.slot_keys, self.slot_open = np.full(1 << _SLOT_BITS, -1, dtype=np.int64), np.zeros(1 << _SLOT_BITS, dtype=bool)
         alone = "\n" not in "".join(p for p in self.ids if len(p) > 1)  # then no piece spans it
         self.split = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.out = [self._bytes_of(i) for i in range(len(model.pieces))]
@@ -175,19 +179,28 @@ class Codec:
 
     def _open(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether ``piece`` may follow ``before`` (-1 at the start) in a byte-pair segmentation."""
-        keys, back = np.unique((before.astype(np.int64) + 1) << 32 | piece, return_inverse=True)
-        known = self.pairs
-        if len(known) > 4 * REMEMBERED:
-            known.clear()
-        out = []
-        for k in keys.tolist():
-            ok = known.get(k)
-            if ok is None:
-                a, b = (k >> 32) - 1, self._string(k & 0xFFFFFFFF)
-                pair = [b] if a < 0 else [self._string(a), b]
-                ok = known[k] = self.merge("".join(pair)) == pair
-            out.append(ok)
-        return np.array(out, dtype=bool)[back]
+        keys = (before.astype(np.int64) + 1) << 32 | piece
+        slots = ((keys.view(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        ok = self.slot_open[slots]
+        missed = np.flatnonzero(self.slot_keys[slots] != keys)
+        if len(missed):
+            if len(self.pairs) > 4 * REMEMBERED:
+                self.pairs.clear()
+            new, back = np.unique(keys[missed], return_inverse=True)
+            found = np.array([self._pair_open(k) for k in new.tolist()], dtype=bool)[back]
+            ok[missed] = found
+            self.slot_keys[slots[missed]] = keys[missed]
+            won = missed[self.slot_keys[slots[missed]] == keys[missed]]  # of several pairs for a slot, one has it now
+            self.slot_open[slots[won]] = ok[won]
+        return ok
+
+    def _pair_open(self, k: int) -> bool:
+        ok = self.pairs.get(k)
+        if ok is None:
+            a, b = (k >> 32) - 1, self._string(k & 0xFFFFFFFF)
+            pair = [b] if a < 0 else [self._string(a), b]
+            ok = self.pairs[k] = self.merge("".join(pair)) == pair
+        return ok
 
     def _lattice(self, units: list[str]) -> list[list[int]]:
         """Segmentations of units of one length, as ids; characters without a piece are ``len(pieces) + code point``."""
@@ -231,6 +244,8 @@ class Codec:
     def _final(self, ids: list[int]) -> bytes:
         """Ids as they are told: characters without a piece become their bytes, or else one unknown for each run."""
         total, out = len(self.m.pieces), []
+        if max(ids) < total:
+            return array("i", ids).tobytes()
         for i in ids:
             if i < total:
                 out.append(i)
