@@ -259,3 +259,16 @@ def apply(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     out = texts.join(named, texts["digest"] == named["d"], "left")
     # Empty sets have no digest, and so no component but their own key.
     return out.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the least key.
+
+    Rows that share a key are one document, of which the least text stays. Rows with a null key cannot be told apart
+    and all stay.
+    """
+    named = apply(docs, key, text)
+    kept = named.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, docs[key] == kept["__kept"], "left_semi")
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col("__nth") == 1).drop("__nth")
+    return rows.unionByName(docs.where(F.col(key).isNull()))

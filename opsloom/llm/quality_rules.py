@@ -72,8 +72,8 @@ def _measure(text: str | None) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, letters, stops, sum(map(bytes.islower, words))
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with the measures of its whole text in BASE and MORE.
+def features(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the measures of its whole ``text`` in BASE and MORE, and without the text unless ``keep_text``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A null text counts as empty; all its measures are 0. Of a repeated line each
     copy after the first counts, of a repeated 5-word window every word of every copy. Columns of ``docs`` that have
@@ -81,7 +81,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     prepare(docs.sparkSession)
     names = [x.split()[0] for x in f"{BASE}, {MORE}".split(", ")]
-    keep = [c for c in docs.columns if c != text and c not in names]
+    keep = [c for c in docs.columns if (keep_text or c != text) and c not in names]
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
     schema = frame.drop("__text").schema
     for n in names:
@@ -161,6 +161,23 @@ def posterior(share: float, prob: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
+def _votes(measured: DataFrame) -> DataFrame:
+    return measured.withColumns({f"__v{j}": vote(r) for j, r in enumerate(RULES)})
+
+
+def fit(measured: DataFrame) -> tuple[float, np.ndarray]:
+    """EM over a table of measures: its vote patterns, 3 ** len(RULES) at most, are counted by Spark."""
+    pattern = F.concat(*[F.col(f"__v{j}").cast("string") for j in range(len(RULES))])
+    counted = _votes(measured).groupBy(pattern.alias("p")).agg(F.count("*").alias("n")).collect()
+    return fit_votes(sorted((r["p"], r["n"]) for r in counted))
+
+
+def judged(measured: DataFrame, share: float, prob: np.ndarray, threshold: float = 0.5) -> DataFrame:
+    """``measured`` with ``base_failed``, ``posterior`` and ``kept``."""
+    out = _votes(measured).withColumns({"posterior": posterior(share, prob), "base_failed": base_failed(F.col("n_words"), F.col("n_repeat_words"))})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*[f"__v{j}" for j in range(len(RULES))])
+
+
 def apply(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The columns of ``docs`` but its text, the measures, ``base_failed``, ``posterior`` and ``kept``.
 
@@ -168,11 +185,13 @@ def apply(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
     one: repeated rows and equal texts get equal verdicts. An empty table gives an empty result.
     """
     measured = saved(features(docs, text))
-    voted = measured.withColumns({f"__v{j}": vote(r) for j, r in enumerate(RULES)})
-    names = [f"__v{j}" for j in range(len(RULES))]
-    pattern = F.concat(*[F.col(n).cast("string") for n in names])
-    counted = voted.groupBy(pattern.alias("p")).agg(F.count("*").alias("n")).collect()  # 3 ** len(RULES) rows at most
-    share, prob = fit_votes(sorted((r["p"], r["n"]) for r in counted))
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    out = voted.withColumns({"posterior": posterior(share, prob), "base_failed": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*names)
+    return judged(measured, *fit(measured), threshold)
+
+
+def filtered(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``apply`` keeps, with their columns as they were."""
+    share, prob = fit(features(docs.select(text), text))
+    # Measured again beside the texts: that costs less than to join or to write them once more.
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    out = judged(features(docs.withColumnsRenamed(names), names[text], keep_text=True), share, prob, threshold)
+    return out.where("kept").select(*[F.col(new).alias(old) for old, new in names.items()])

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from opsloom.llm.common import map_batches, prepare
 
@@ -356,7 +357,8 @@ def _mapped(docs: DataFrame, model_path: str, column: str, new: str, fn) -> Data
     frame = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = docs.select(*[F.col(f"`{c}`") for c in keep if c not in names]).schema
     for x in new.split(", "):
-        schema = schema.add(*x.split(" ", 1))
+        name, kind = x.split(" ", 1)
+        schema = schema.add(name, DataType.fromDDL(kind))
     at, codecs = keep.index(column), {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
