@@ -75,9 +75,11 @@ def robust_prune(points: np.ndarray, own: np.ndarray, cand: np.ndarray, dist: np
     """
     q, m = cand.shape
     dist = np.where((cand < 0) | (cand == own[:, None]), np.inf, dist)
-    order = np.argsort(dist, axis=1, kind="stable")
+    order = np.argsort(cand, axis=1, kind="stable")
     cand, dist = np.take_along_axis(cand, order, 1), np.take_along_axis(dist, order, 1)
     dist[:, 1:][cand[:, 1:] == cand[:, :-1]] = np.inf  # the same node twice
+    order = np.argsort(dist, axis=1, kind="stable")
+    cand, dist = np.take_along_axis(cand, order, 1), np.take_along_axis(dist, order, 1)
     at = points[np.maximum(cand, 0)]
     sq = np.einsum("qmd,qmd->qm", at, at)
     out = np.full((q, degree), -1, dtype=np.int32)
@@ -133,6 +135,8 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alph
             cols = np.arange(width)[None, :]
             fill = cols < k[:, None]
             wide[:, degree:][fill] = source[(s[:, None] + cols)[fill]]
+            wide.sort(axis=1)
+            wide[:, 1:][wide[:, 1:] == wide[:, :-1]] = -1  # two new nodes may have chosen each other
             room = ((wide >= 0).sum(1) <= degree)
             if room.any():
                 packed = np.take_along_axis(wide[room], np.argsort(wide[room] < 0, axis=1, kind="stable"), 1)
