@@ -30,8 +30,8 @@ MARK = "▁"
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Units of more characters go through a heap of merges (byte-pair) or a lattice of one row (unigram).
 LONG_UNIT = 64
-#: Units and pairs of pieces remembered in a worker at most; then it begins anew.
-REMEMBERED = 500_000
+#: Units and pairs of pieces remembered in a worker at most; then only those of the texts at hand stay.
+REMEMBERED = 1_000_000
 _SLOT_BITS = 20
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -185,7 +185,7 @@ class Codec:
         ok = self.slot_open[slots]
         missed = np.flatnonzero(self.slot_keys[slots] != keys)
         if len(missed):
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
             new, back = np.unique(keys[missed], return_inverse=True)
             found = np.array([self._pair_open(k) for k in new.tolist()], dtype=bool)[back]
@@ -259,7 +259,7 @@ class Codec:
     def learn(self, units: set[str]) -> None:
         """Remember the ids of new units."""
         if len(self.units) > REMEMBERED:
-            self.units.clear()
+            self.units = {u: self.units[u] for u in units if u in self.units}
         by_size: dict[int, list[str]] = {}
         total = len(self.m.pieces)
         for u in units:
@@ -300,7 +300,7 @@ class Codec:
         out, at = [None] * len(parts), 0
         while at < len(parts):  # so many texts that their units can be remembered together
             new, end = set(), at
-            while end < len(parts) and (end == at or len(new) < REMEMBERED // 4):
+            while end < len(parts) and (end == at or len(new) < REMEMBERED // 8):
                 new.update(parts[end] or ())
                 end += 1
             self.learn(new)
