@@ -127,7 +127,6 @@ def oracle_sql(table: str = "documents") -> str:
         steps.append(f"s{i} AS (SELECT * EXCLUDE (rest), contains(rest, {pattern}) AS r{i}, replace(rest, {pattern}, '|') AS rest FROM {last})")
         last = f"s{i}"
     names = ", ".join(f"CASE WHEN r{i} THEN {quote(name)} END" for i, (name, _) in enumerate(RULES))
-    first = ", ".join(quote(n) for n in dict.fromkeys(name for name, _ in RULES))
     return f"""
 WITH known(sentence, id) AS (VALUES {rows}),
 cut AS (
@@ -145,6 +144,6 @@ told AS (
 start AS (SELECT *, CASE WHEN sentence_ids = '' THEN '' ELSE ',' || replace(sentence_ids, ',', ',,') || ',' END AS rest FROM told),
 {", ".join(steps)}
 SELECT doc_id, CAST(n_known AS BIGINT) AS n_known, sentence_ids,
-       array_to_string(list_filter([{first}], lambda n: list_contains([{names}], n)), ',') AS licenses
+       array_to_string(list_filter([{names}], lambda n, i: n IS NOT NULL AND list_position([{names}], n) = i), ',') AS licenses
 FROM {last}
 """
