@@ -10,11 +10,10 @@ every step is one aggregate over the documents. DataFrame functions only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.llm.common import prepare, saved
@@ -22,13 +21,18 @@ from opsloom.llm.common import prepare, saved
 #: What ends a token here: white space and light punctuation.
 SPLIT = "[\\x20\\x09-\\x0D.,;:?]+"
 #: Labelled documents to learn from at most (those whose ids hash lowest); buckets of words and of word ends.
-SAMPLE, WORDS, ENDS = 20_000, 8192, 1024
-#: The evidence of a document counts as that of so many tokens at most, so that posteriors stay soft.
-EVIDENCE = 60
-#: Tokens that each domain has besides, spread as those of all domains.
-SMOOTH = 2000.0
-#: Steps at most, and the residual (share of all tokens) that ends them.
-STEPS, CLOSE = 25, 1e-6
+SAMPLE, WORDS, ENDS = 20_000, 1 << 15, 1024
+#: Weight of a document's evidence: words are not independent, and posteriors are to stay soft.
+EVIDENCE = 0.8
+#: Tokens from which on absent words count in full.
+FULL = 100.0
+#: Documents that each domain has besides, like those of all domains; that hold a bucket all the same; how many standard deviations a bucket's
+#: documents must be off the expected number for it to count.
+SMOOTH, RARE, SIGNIFICANT = 5.0, 2.0, 5.0
+#: Share of some domain's documents that a bucket needs to count; shingle hashes by which copies are told.
+SUPPORT, COPY_KEYS = 0.02, 6
+#: Steps at most, the residual (share of all tokens) that ends them, and the least part of it that a step must take off.
+STEPS, CLOSE, PROGRESS = 25, 1e-6, 0.02
 #: Domains of the labels table, and the weights asked for.
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = (0.90, 0.05, 0.05)
@@ -36,12 +40,12 @@ TARGETS = (0.90, 0.05, 0.05)
 
 @dataclass
 class Mixture:
-    """Log-odds of words and ends by domain but the first, log prior odds, and the steps of the rates."""
+    """By domain but the first: log-odds of words and ends that are there, of all of them being absent, and prior odds."""
 
     words: np.ndarray
     ends: np.ndarray
+    absent: np.ndarray
     prior: np.ndarray
-    steps: list[list[float]]
 
 
 def tokens(text: str) -> Column:
@@ -62,46 +66,68 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", domain.alias("domain"))
 
 
+def toxic_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) with 1 for toxic and 0 for other documents; rows with nulls are left out."""
+    return labels.where("doc_id is not null and toxic is not null").select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("domain"))
+
+
+def _least_hash(seed: int) -> Column:
+    return F.array_min(F.transform("h", lambda h: F.xxhash64(h, F.lit(seed))))
+
+
 def learn(docs: DataFrame, domains: DataFrame, key: str, text: str, n_domains: int, most: int = SAMPLE) -> Mixture:
     """The classifier. An id with several domains teaches none; without labelled documents posteriors are the priors."""
     one = domains.groupBy(F.col("doc_id").alias("__id")).agg(F.min("domain").alias("__d"), F.max("domain").alias("__e")).where("__d = __e")
     one = one.select("__id", "__d").orderBy(F.xxhash64("__id"), "__id").limit(most)
     taken = docs.select(F.col(key).alias("__k"), tokens(text).alias("w")).join(F.broadcast(one), F.col("__k") == F.col("__id"))  # ``most`` rows bound the broadcast
-    taken = saved(taken.select(F.col("__d").alias("d"), "w"))
-    share = np.ones(n_domains)
+    # Copies would count as many witnesses: a document teaches only if none before it shares one of its least shingle hashes.
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5)))
+    taken = saved(taken.select("__id", F.col("__d").alias("d"), windows.alias("h"), F.array_distinct("w").alias("w")))
+    least = F.array(*[_least_hash(i) for i in range(COPY_KEYS)])
+    order = F.struct(F.xxhash64("__id").alias("x"), F.col("__id").alias("y"))
+    keys = taken.select("__id", order.alias("o"), F.posexplode(least).alias("i", "key"))
+    first = keys.withColumn("first", F.min("o").over(Window.partitionBy("i", "key"))).groupBy("__id").agg(F.bool_and(F.col("o") == F.col("first")).alias("own"))
+    taken = saved(taken.join(F.broadcast(first.where("own").select("__id")), "__id").select("d", "w"))
+    size = np.zeros(n_domains)
     for r in taken.groupBy("d").count().collect():
-        share[r["d"]] += r["count"]
-    each = taken.select("d", F.explode("w").alias("w"))
-    both = each.select("d", F.explode(F.array(_word(F.col("w")), _end(F.col("w")) + WORDS)).alias("b"))
+        size[r["d"]] = r["count"]
+    buckets = F.array_union(F.transform("w", _word), F.transform("w", lambda w: _end(w) + WORDS))
+    both = taken.select("d", F.explode(buckets).alias("b"))  # each bucket of a document once
     counts = np.zeros((n_domains, WORDS + ENDS))
-    for r in both.groupBy("d", "b").count().collect():  # n_domains * (WORDS + ENDS) rows at most
-        counts[r["d"], r["b"]] = r["count"]
+    found = both.groupBy("d", "b").count().toPandas()  # n_domains * (WORDS + ENDS) rows at most
+    counts[found["d"], found["b"]] = found["count"]
 
-    def odds(own: np.ndarray) -> np.ndarray:
-        all_ = own.sum(0) + 1.0  # smoothed towards what all domains have
-        p = (own + SMOOTH * all_ / all_.sum()) / (own.sum(1, keepdims=True) + SMOOTH)
-        return np.log(p[1:] / p[0])
+    share = counts.sum(0) / max(size.sum(), 1.0)  # of all documents that hold a bucket
+    p = (counts + SMOOTH * share + RARE) / (size + SMOOTH + 2 * RARE)[:, None]
+    absent = np.log((1 - p[1:]) / (1 - p[0]))
+    odds = np.log(p[1:] / p[0]) - absent
+    expected = size[:, None] * share
+    far = np.abs(counts - expected) / np.sqrt(np.maximum(expected * (1 - share), 0.5))
+    odds[(np.maximum(far[1:], far[0]) < SIGNIFICANT) | (np.maximum(counts[1:] / np.maximum(size[1:], 1)[:, None], counts[0] / max(size[0], 1)) < SUPPORT)] = 0.0
+    absent[odds == 0.0] = 0.0
+    prior = np.log((size[1:] + 1) / (size[0] + 1))
+    return Mixture(odds[:, :WORDS], odds[:, WORDS:], absent.sum(1), prior)
 
-    return Mixture(odds(counts[:, :WORDS]), odds(counts[:, WORDS:]), np.log(share[1:] / share[0]), [])
 
+def _constant(values: np.ndarray) -> Column:
+    """An array literal: one string that the optimiser turns into an array once."""
+    return F.split(F.lit(",".join(f"{x:.6g}" for x in values.tolist())), ",").cast("array<double>")
 
-def _adder(words: Column, ends: Column) -> Callable[[Column, Column], Column]:
-    return lambda total, w: total + F.get(words, _word(w)) + F.get(ends, _end(w))
 
-
-def logit_columns(mix: Mixture, words: Column, n: Column) -> list[Column]:
-    """Log-odds of each domain against the first, for a document with these tokens, n of them."""
-    logits = [F.lit(0.0)]
-    for w, e, prior in zip(mix.words, mix.ends, mix.prior.tolist()):
-        total = F.aggregate(words, F.lit(0.0), _adder(F.lit(w), F.lit(e)))
-        logits.append(F.lit(prior) + total * F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(n, F.lit(1))))
-    return logits
+def _evidence(buckets: Column, odds: np.ndarray) -> Column:
+    known = _constant(odds)
+    return F.aggregate(buckets, F.lit(0.0), lambda total, b: total + F.get(known, b))
 
 
 def with_posteriors(df: DataFrame, mix: Mixture, text: str) -> DataFrame:
-    """``df`` with __n (tokens), __p0, __p1, ... (posteriors)."""
-    out = df.withColumn("__w", tokens(text)).withColumn("__n", F.size("__w").cast("long"))
-    out = out.withColumns({f"__l{k}": c for k, c in enumerate(logit_columns(mix, F.col("__w"), F.col("__n")))}).drop("__w")
+    """``df`` with __n (tokens), __p0, __p1, ... (posteriors). A word counts once in a document, as in the learning."""
+    out = df.withColumn("__w", tokens(text))
+    out = out.withColumns({"__n": F.size("__w").cast("long"), "__b": F.array_distinct(F.transform("__w", _word)), "__e": F.array_distinct(F.transform("__w", _end))})
+    whole = F.least(F.lit(1.0), F.col("__n") / FULL)  # a short document is not known by what it lacks
+    logits = [F.lit(0.0)]
+    for w, e, absent, prior in zip(mix.words, mix.ends, mix.absent.tolist(), mix.prior.tolist()):
+        logits.append(prior + EVIDENCE * (_evidence(F.col("__b"), w) + _evidence(F.col("__e"), e) + absent * whole))
+    out = out.withColumns({f"__l{k}": c for k, c in enumerate(logits)}).drop("__w", "__b", "__e")
     names = [f"__l{k}" for k in range(len(mix.prior) + 1)]
     top = F.greatest(*names)
     out = out.withColumn("__top", top).withColumns({x: F.exp(F.col(x) - F.col("__top")) for x in names})
@@ -129,12 +155,15 @@ def fit(scored: DataFrame, targets: tuple[float, ...]) -> list[list[float]]:
     inverse = np.linalg.pinv(normal, rcond=1e-12)
     goal = np.array(targets, dtype=float) / sum(targets)
     steps: list[list[float]] = []
+    last = np.inf
     for _ in range(STEPS):
         r = rate(steps, k)
         now = scored.agg(*[F.sum(r * F.col("__n") * p[i]).alias(f"s{i}") for i in range(k)]).first()
         rest = np.array([now[f"s{i}"] for i in range(k)]) / total - goal
-        if np.abs(rest).max() < CLOSE:
+        off = float(np.sqrt(rest @ inverse @ rest))  # what the steps make smaller
+        if np.abs(rest).max() < CLOSE or off > (1 - PROGRESS) * last:
             break
+        last = off
         steps.append((inverse @ rest).tolist())
     return steps
 
