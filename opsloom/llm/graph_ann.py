@@ -24,7 +24,7 @@ from opsloom.llm.common import prepare, saved
 #: Vectors in a shard, queries in a block.
 SHARD, BLOCK = 4096, 4096
 #: Edges of a node, beam while building, beam of a query, slack of pruning, nodes added at once.
-DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA, BATCH = 32, 32, 64, 1.2, 512
+DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA, BATCH = 32, 32, 96, 1.2, 512
 
 
 def _distances(points: np.ndarray, norms: np.ndarray, rows: np.ndarray, to: np.ndarray) -> np.ndarray:
