@@ -4,12 +4,13 @@ A naive Bayes classifier over hashed words and word ends, learnt from a labelled
 over domains. A document of t tokens and posterior p adds ``rate * t * p`` expected tokens to the domains. Projected
 gradient finds nonnegative rates whose expected totals match the targets: the squares are weighted by the inverse of
 the totals' normal matrix, for which a step of length 1 is safe, and a rate's step is the posterior's product with the
-weighted residual. So a rate follows from its document's posterior and the residuals of all steps, a few numbers each;
+weighted residual, with momentum. So a rate follows from its document's posterior and the residuals of all steps, a few numbers each;
 every step is one aggregate over the documents. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ SMOOTH, RARE, SIGNIFICANT = 5.0, 2.0, 5.0
 #: Share of some domain's documents that a bucket needs to count; shingle hashes by which copies are told.
 SUPPORT, COPY_KEYS = 0.02, 6
 #: Steps at most, the residual (share of all tokens) that ends them, and the least part of it that a step must take off.
-STEPS, CLOSE, PROGRESS = 25, 1e-6, 0.02
+STEPS, CLOSE, PROGRESS = 40, 1e-6, 0.001
 #: Domains of the labels table, and the weights asked for.
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = (0.90, 0.05, 0.05)
@@ -136,15 +137,27 @@ def with_posteriors(df: DataFrame, mix: Mixture, text: str) -> DataFrame:
 
 
 def rate(steps: list[list[float]], n_domains: int) -> Column:
-    """The rate after ``steps``: it starts at 1, and each step is projected to what is not negative."""
-    out = F.lit(1.0)
-    for g in steps:
-        out = F.greatest(F.lit(0.0), out - sum((F.col(f"__p{k}") * F.lit(x) for k, x in enumerate(g[1:], 1)), F.col("__p0") * F.lit(g[0])))
-    return out
+    """The rate after ``steps``, see ``fit``: it starts at 1, and what each step leaves is projected to what is not negative."""
+    if not steps:
+        return F.lit(1.0)
+
+    def step(at: Column, g: Column) -> Column:
+        ahead = at["r"] + g[n_domains] * (at["r"] - at["before"])
+        down = sum((at["p"][k] * g[k] for k in range(1, n_domains)), at["p"][0] * g[0])
+        return F.struct(F.greatest(F.lit(0.0), ahead - down).alias("r"), at["r"].alias("before"), at["p"].alias("p"))
+
+    # The posteriors go along in the state: a column named inside the function could be worked out anew at each step.
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before"), F.array(*[F.coalesce(F.col(f"__p{k}"), F.lit(0.0)) for k in range(n_domains)]).alias("p"))
+    return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), start, step, lambda at: at["r"])
 
 
 def fit(scored: DataFrame, targets: tuple[float, ...]) -> list[list[float]]:
-    """The steps for a table with __n and __p columns; targets are weights of the domains, which need not sum to 1."""
+    """The steps for a table with __n and __p columns; targets are weights of the domains, which need not sum to 1.
+
+    A step is the gradient's weights by domain and the momentum: the gradient is taken at the rates moved on by so
+    much of their last change. Totals are linear in the rates, so those of the moved rates need no pass of their own.
+    Momentum starts anew where a step has brought next to nothing; where one without it has not either, the steps end.
+    """
     k = len(targets)
     p = [F.col(f"__p{i}") for i in range(k)]
     sums = scored.agg(F.sum("__n").alias("n"), *[F.sum(F.col("__n") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
@@ -152,19 +165,28 @@ def fit(scored: DataFrame, targets: tuple[float, ...]) -> list[list[float]]:
     if not total:
         return []
     normal = np.array([[sums[f"m{i}_{j}"] for j in range(k)] for i in range(k)], dtype=float) / total
-    inverse = np.linalg.pinv(normal, rcond=1e-12)
+    inverse = np.linalg.pinv(normal, rcond=1e-12, hermitian=True)
     goal = np.array(targets, dtype=float) / sum(targets)
     steps: list[list[float]] = []
-    last = np.inf
-    for _ in range(STEPS):
+    last, age, momentum, before = np.inf, 1.0, 0.0, None
+    while True:
         r = rate(steps, k)
-        now = scored.agg(*[F.sum(r * F.col("__n") * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        rest = np.array([now[f"s{i}"] for i in range(k)]) / total - goal
-        off = float(np.sqrt(rest @ inverse @ rest))  # what the steps make smaller
-        if np.abs(rest).max() < CLOSE or off > (1 - PROGRESS) * last:
+        row = scored.agg(*[F.sum(r * F.col("__n") * p[i]).alias(f"s{i}") for i in range(k)]).first()
+        now = np.array([row[f"s{i}"] for i in range(k)]) / total
+        rest = now - goal
+        off = float(np.sqrt(max(0.0, rest @ inverse @ rest)))  # what the steps make smaller
+        if np.abs(rest).max() < CLOSE or len(steps) == STEPS:
             break
-        last = off
-        steps.append((inverse @ rest).tolist())
+        if off > (1 - PROGRESS) * last:
+            if not momentum:
+                break
+            age = 1.0
+        last, older = off, age
+        age = (1 + math.sqrt(1 + 4 * age * age)) / 2
+        momentum = (older - 1) / age
+        ahead = rest if before is None else rest + momentum * (now - before)
+        before = now
+        steps.append([*(inverse @ ahead).tolist(), momentum])
     return steps
 
 
@@ -194,5 +216,6 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: tuple[float, ...] = TARG
     steps = fit(scored, targets)
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     times = F.floor(rate(steps, len(targets)) + chance).cast("int")
-    out = with_posteriors(docs, mix, text).withColumn("__times", times).where("__times > 0")
-    return out.withColumn("__again", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*[out[c] for c in docs.columns])
+    out = with_posteriors(docs, mix, text)
+    # The outer form, with its nulls left out afterwards: a filter on the times would be moved down and work the posteriors out twice.
+    return out.withColumn("__again", F.explode_outer(F.array_repeat(F.lit(0), times))).where("__again is not null").select(*[out[c] for c in docs.columns])
