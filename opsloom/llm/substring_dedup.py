@@ -93,7 +93,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     again = _chunks(docs, key, text, None).groupBy("h").count().where("count > 1").select("h")
     found = saved(_chunks(docs, key, text, bitmap(again, FILTER_BITS)))
     far = F.struct(F.col("k").isNull().alias("none"), "k", "start")
-    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(far).alias("first")).where("n > 1").select("digest", "first")
+    # Written, so that the join deals out both sides on its own and a hot digest's rows can be split among tasks.
+    first = saved(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(far).alias("first")).where("n > 1").select("digest", "first"))
     repeats = found.join(first, "digest").where(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("start") == F.col("first.start"))))
     by_text = Window.partitionBy("k").orderBy("start")
     repeats = repeats.select("k", "start", "size", F.col("first.k").alias("first_k")).dropDuplicates(["k", "start"])
