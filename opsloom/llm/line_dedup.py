@@ -3,6 +3,9 @@
 A rolling hash over the hashes of the last ``WINDOW`` lines decides where a chunk ends, so inserted or removed lines
 move the boundaries near them only. Chunks of two lines or more are grouped over the whole corpus by digest and by
 their bytes: two chunks are equal only when their bytes are. The first occurrence (least id, then position) stays.
+
+Chunks alone miss passages whose boundaries fall on foreign lines. With ``extend`` every two neighbouring lines are
+compared as well, so each line of a run of two lines or more that occurred before goes, wherever boundaries are.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import map_batches, prepare, saved
+from opsloom.llm.common import bitmap, in_bitmap, map_batches, prepare, saved
 
 #: Lines that the rolling hash looks at, and the mean number of lines in a chunk.
 WINDOW, MEAN_LINES = 2, 3
+#: Bits of the filter that keeps single units from being shuffled: 4 MB, whatever the input.
+FILTER_BITS = 25
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -36,87 +41,131 @@ def chunk_bounds(lines: list[bytes]) -> list[int]:
     return ends if ends and ends[-1] == len(lines) else [*ends, len(lines)]
 
 
-def chunks(text: str | None) -> list[tuple[int, int, bytes, bytes]]:
-    """The multi-line chunks of a text: number of the first line, of lines, digest, bytes (lines joined by \\n)."""
-    if not text:
-        return []
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    out, at = [], 0
+def units(lines: list[bytes], extend: bool) -> list[tuple[int, int]]:
+    """What is compared of a text, as number of the first line and of lines: multi-line chunks, or pairs of neighbouring lines.
+
+    Units of blank lines alone are none. With ``extend`` chunks that hold two blank lines in a row are units too, as
+    pairs do not make them up.
+    """
+    full = [bool(x.strip()) for x in lines]
+    out = [(i, 2) for i in range(len(lines) - 1) if full[i] or full[i + 1]] if extend else []
+    at = 0
     for end in chunk_bounds(lines):
-        if end - at > 1 and any(map(bytes.strip, lines[at:end])):
-            body = b"\n".join(lines[at:end])
-            out.append((at, end - at, hashlib.blake2b(body, digest_size=16).digest(), body))
+        if end - at > 1 and any(full[at:end]) and not (extend and all(full[i] or full[i + 1] for i in range(at, end - 1))):
+            out.append((at, end - at))
         at = end
     return out
 
 
-def _chunk_rows(docs: DataFrame, key: str, text: str, with_bytes: bool) -> DataFrame:
-    frame = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    kind = frame.schema["k"].dataType.simpleString()
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
+def _row_id(key: str | Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a row's key and text: what repeats both shares them. Never null."""
+    key = F.col(key) if isinstance(key, str) else key
+    same = (key.isNull(), key, text)
+    return F.xxhash64(*same), F.xxhash64(F.lit("row"), *same)
+
+
+def _unit_rows(docs: DataFrame, key: str, text: str, extend: bool, only: np.ndarray | None) -> DataFrame:
+    """Rows (k, r, v, line, digest, body) of the units whose hash may be in the bitmap ``only``; without it (h) alone."""
+    t = F.col(text).cast("string")
+    r, v = _row_id(key, t)
+    frame = docs.select(F.col(key).alias("k"), t.alias("t"), r.alias("r"), v.alias("v")) if only is not None else docs.select(t.alias("t"))
+    at = frame.columns.index("t")
+    sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [chunks(t) for t in batch.column(1).to_pylist()]
-        flat = [c for cs in found for c in cs]
-        if not flat:
+        bodies, firsts, owner = [], [], []
+        for i, t in enumerate(batch.column(at).to_pylist()):
+            lines = t.encode("utf-8", "surrogatepass").split(b"\n") if t else []
+            found = units(lines, extend)
+            bodies += [b"\n".join(lines[a : a + n]) for a, n in found]
+            firsts += [a for a, _ in found]
+            owner += [i] * len(found)
+        if not bodies:
+            return None
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, bodies), dtype=np.uint64, count=len(bodies)).view(np.int64)
+        if sent is None:
+            return pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+        take = np.flatnonzero(in_bitmap(sent.value, h)).tolist()
+        if not take:
             return None
-        take = pa.array(np.repeat(np.arange(len(found)), [len(c) for c in found]))
-        cols = [batch.column(0).take(take), pa.array([c[0] for c in flat], pa.int32()), pa.array([c[2] for c in flat], pa.binary())]
-        names = ["k", "line", "digest"]
-        if with_bytes:
-            cols.append(pa.array([c[3] for c in flat], pa.binary()))
-            names.append("body")
-        return pa.RecordBatch.from_arrays(cols, names=names)
+        rows = pa.array([owner[i] for i in take])
+        cols = [batch.column(0).take(rows), batch.column(2).take(rows), batch.column(3).take(rows), pa.array([firsts[i] for i in take], pa.int32())]
+        cols += [pa.array([_digest(bodies[i]) for i in take], pa.binary()), pa.array([bodies[i] for i in take], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["k", "r", "v", "line", "digest", "body"])
 
-    return map_batches(frame, cut, f"k {kind}, line int, digest binary" + ", body binary" * with_bytes)
+    return map_batches(frame, cut, "h long" if only is None else f"k {frame.schema['k'].dataType.simpleString()}, r long, v long, line int, digest binary, body binary")
 
 
-def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks to remove: rows (k, line), the key of the text and the number of the chunk's first line.
+def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", extend: bool = False) -> DataFrame:
+    """Units to remove: rows (r, v, line, digest), the id of key and text and the number of the unit's first line.
 
-    Of equal chunks the one with the least (key, line) stays; null keys come last. Texts that share a key are told
-    apart only as far as their chunks differ: rows with an equal key and text lose their chunks together.
+    Of equal units the one with the least (key, line) stays; null keys come last. Rows that repeat both key and text
+    count as one here and are told apart in ``apply``.
     """
-    # Equal bytes: the group's key has them; counts and minima are combined before the shuffle, so a hot chunk is one row a task.
-    again = _chunk_rows(docs, key, text, True).groupBy("digest", "body").agg(F.count("*").alias("n"), F.min("k").alias("first_k")).where("n > 1")
-    again = saved(again.select("digest", F.xxhash64("body").alias("b"), "first_k"))
+    again = _unit_rows(docs, key, text, extend, None).groupBy("h").count().where("count > 1").select("h")
+    found = saved(_unit_rows(docs, key, text, extend, bitmap(again, FILTER_BITS)))
+    # Equal bytes: the group's key has them; counts and minima are combined before the shuffle, so a hot unit is one row a task.
+    place = F.struct(F.col("k").isNull().alias("none"), "k", "line", "r", "v")
+    first = found.groupBy("digest", "body").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
     # A digest of 128 bits stands for one body unless two bodies share it; then their digests are left alone.
-    again = again.groupBy("digest").agg(F.count("*").alias("bodies"), F.min("first_k").alias("first_k")).where("bodies = 1")
-    seen = _chunk_rows(docs, key, text, False).join(again.select("digest", "first_k"), "digest")
-    within = Window.partitionBy("k", "digest").orderBy("line")
-    return seen.withColumn("nth", F.row_number().over(within)).where("not (k <=> first_k) or nth > 1").select("k", "line")
+    first = saved(first.groupBy("digest").agg(F.count("*").alias("bodies"), F.min("first").alias("first")).where("bodies = 1").select("digest", "first"))
+    seen = found.select("r", "v", "line", "digest").join(first, "digest")
+    return seen.where("not (r = first.r and v = first.v and line = first.line)").select("r", "v", "line", "digest")
+
+
+def _dropped(lines: list[bytes], drop: dict[int, set[bytes]] | None, extend: bool) -> list[bool]:
+    """Which lines go with the units in ``drop`` (digests by first line), or with all units where it is None."""
+    gone = [False] * len(lines)
+    for a, n in units(lines, extend):
+        if drop is None or (a in drop and _digest(b"\n".join(lines[a : a + n])) in drop[a]):
+            # A line repeated three times: the second pair shares a line with the first, which stays.
+            kept = drop is not None and n == 2 and a > 0 and a - 1 not in drop and lines[a - 1] == lines[a] == lines[a + 1] and extend
+            gone[a + kept : a + n] = [True] * (n - kept)
+    return gone
 
 
-def apply(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", extend: bool = False) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``, and ``n_removed_lines`` and ``n_removed_chunks``.
 
-    All rows and columns stay (columns of these two names are replaced). A null text stays null and loses nothing; a
-    text that loses every line becomes empty. A text left as it was is returned byte for byte.
+    With ``extend`` every line goes that lies in a run of two lines or more that occurred before, and
+    ``n_removed_chunks`` counts the runs removed. All rows and columns stay (columns of these two names are replaced).
+    A null text stays null and loses nothing; a text that loses every line becomes empty. A text left as it was is
+    returned byte for byte. Of rows that repeat both key and text one counts as the first; the others lose all units.
     """
     prepare(docs.sparkSession)
-    gone = repeated_chunks(docs, key, text).groupBy("k").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("k", "__k")
+    gone = repeated_chunks(docs, key, text, extend).groupBy("r", "v").agg(F.collect_set(F.struct("line", "digest")).alias("__drop"))
+    gone = gone.withColumnsRenamed({"r": "__r", "v": "__v"})
     keep = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_chunks")]
     frame = docs.select(*[F.col(f"`{c}`") for c in keep])
-    joined = frame.join(gone, frame[key] == gone["__k"], "left").select(*[frame[c] for c in keep], "__lines")
+    r, v = _row_id(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"))
+    joined = frame.withColumns({"__r": r, "__v": v}).join(gone, ["__r", "__v"], "left")
+    # The join has dealt the rows out by these two already.
+    joined = joined.withColumn("__nth", F.row_number().over(Window.partitionBy("__r", "__v").orderBy("__r"))).select(*[F.col(f"`{c}`") for c in keep], "__drop", "__nth")
     schema = frame.schema.add("n_removed_lines", "long").add("n_removed_chunks", "long")
     at = keep.index(text)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lines_out, chunks_out = batch.column(at).to_pylist(), [], []
-        for i, drop in enumerate(batch.column(len(keep)).to_pylist()):
-            n = 0
-            if drop and texts[i]:
-                drop = set(drop)
+        nth = batch.column(len(keep) + 1).to_pylist()
+        for i, found in enumerate(batch.column(len(keep)).to_pylist()):
+            n = runs = 0
+            if texts[i] and (found or nth[i] > 1):
+                drop: dict[int, set[bytes]] = {}
+                for x in found or ():
+                    drop.setdefault(x["line"], set()).add(x["digest"])
                 lines = texts[i].encode("utf-8", "surrogatepass").split(b"\n")
-                left, begin = [], 0
-                for end in chunk_bounds(lines):
-                    if begin in drop and end - begin > 1:
-                        n += end - begin
-                    else:
-                        left += lines[begin:end]
-                    begin = end
-                texts[i] = b"\n".join(left).decode("utf-8", "surrogatepass")
+                lost = _dropped(lines, drop if nth[i] == 1 else None, extend)
+                n = sum(lost)
+                if n:
+                    ends = {a + size for a, size in units(lines, False)} if not extend else set()
+                    runs = sum(x and (j == 0 or not lost[j - 1] or j in ends) for j, x in enumerate(lost))
+                    texts[i] = b"\n".join(x for x, y in zip(lines, lost) if not y).decode("utf-8", "surrogatepass")
             lines_out.append(n)
-            chunks_out.append(len(drop) if n else 0)
+            chunks_out.append(runs)
         cols = batch.columns[: len(keep)]
         cols[at] = pa.array(texts, batch.column(at).type)
         return pa.RecordBatch.from_arrays([*cols, pa.array(lines_out, pa.int64()), pa.array(chunks_out, pa.int64())], names=[*keep, "n_removed_lines", "n_removed_chunks"])
