@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are cut from the texts; ``n_chars`` follows a text that has changed. All rows stay."""
-    out = line_dedup.apply(docs)
+    """Repeated runs of lines are cut from the texts; ``n_chars`` follows a text that has changed. All rows stay."""
+    out = line_dedup.apply(docs, extend=True)
     n_chars = F.when(F.col("n_removed_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

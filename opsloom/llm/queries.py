@@ -59,7 +59,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.apply(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.apply(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=True)
     return out.select("doc_id", "n_removed_lines", "n_removed_chunks", F.sha1(F.encode("text", "utf-8")).alias("text_digest"))
 
 
