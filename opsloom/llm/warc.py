@@ -9,6 +9,7 @@ member, or the next version line in plain files, goes on from there, and reports
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -30,6 +31,9 @@ _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"(?m)^WARC/\d\.\d\r\n")
 #: An empty gzip member; its last byte is 0, as is that of every member of less than 16 MiB.
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+#: Digests that are checked, by name.
+_DIGESTS = {name: getattr(hashlib, name) for name in ("md5", "sha1", "sha256", "sha512")}
+_HEX = re.compile(rb"[0-9a-fA-F]+")
 #: Bytes given to zlib at once.
 _PIECE = 1 << 15
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,12 +124,51 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     return (fields, begin, end) if data[end : end + 4] == b"\r\n\r\n" else None
 
 
+def _same(told: str, data: bytes) -> bool | None:
+    """Whether ``data`` has the digest ``told`` (algorithm:value, in hex or base32); None if it names no algorithm known here."""
+    kind, _, value = told.partition(":")
+    make = _DIGESTS.get(kind.strip().lower().replace("-", ""))
+    if make is None:
+        return None
+    found, value = make(data).digest(), value.strip()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """An HTTP body without its chunked transfer coding; None if it has none."""
+    out, at = [], 0
+    while True:
+        line = body.find(b"\r\n", at)
+        size = body[at:line].split(b";")[0].strip() if line >= 0 else b""
+        if not _HEX.fullmatch(size):
+            return None
+        if not int(size, 16):
+            return b"".join(out)
+        begin, end = line + 2, line + 2 + int(size, 16)
+        if body[end : end + 2] != b"\r\n":
+            return None
+        out.append(body[begin:end])
+        at = end + 2
+
+
 def _intact(fields: dict[str, str], block: bytes) -> bool:
-    """A response's block has its length and digest."""
-    kind, _, digest = fields.get("warc-payload-digest", "").partition(":")
-    if fields.get("warc-type") != "response" or kind.lower() != "sha1":
+    """The block has its digest, and so has the payload: what follows the HTTP headers where there are such, else the block.
+
+    Writers differ on whether the payload has its transfer coding; either will do. A revisit's payload and that of a
+    segment are not in the record.
+    """
+    if _same(fields.get("warc-block-digest", ""), block) is False:
+        return False
+    told = fields.get("warc-payload-digest", "")
+    if fields["warc-type"].lower() in ("revisit", "continuation") or "warc-segment-number" in fields:
         return True
-    return hashlib.sha1(block).hexdigest() == digest.lower()
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return _same(told, block) is not False
+    head, blank, body = block.partition(b"\r\n\r\n")
+    if _same(told, body) is not False:
+        return True
+    plain = _unchunked(body) if b"chunked" in head.lower() else None
+    return plain is not None and bool(_same(told, plain))
 
 
 def _plain(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
@@ -146,32 +189,42 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes
         yield bad, len(data), None, b""
 
 
+def _member(data: bytes, at: int) -> tuple[bytes, int | None, bool]:
+    """What the gzip member at ``at`` holds, its end (None if it is broken or cut off), and whether it is broken."""
+    for fine in (False, True):  # zlib keeps back all of a piece that it fails on, so the piece is given again byte by byte
+        unzip, fed, plain, piece = zlib.decompressobj(31), at, [], _PIECE
+        try:
+            while not unzip.eof and fed < len(data):  # piece by piece: what lies behind the member is not copied
+                if fine and fed >= failed:
+                    piece = 1
+                plain.append(unzip.decompress(data[fed : fed + piece]))
+                fed += piece
+            return b"".join(plain), min(fed, len(data)) - len(unzip.unused_data) if unzip.eof else None, False
+        except zlib.error:
+            failed = fed
+    return b"".join(plain), None, True
+
+
 def _zipped(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     at, bad = 0, None
     while at < len(data):
-        end, inner = None, []
-        if data.startswith(_MEMBER, at):
-            unzip, fed, plain = zlib.decompressobj(31), at, []
-            try:
-                while not unzip.eof and fed < len(data):  # piece by piece: what lies behind the member is not copied
-                    plain.append(unzip.decompress(data[fed : fed + _PIECE]))
-                    fed += _PIECE
-                if unzip.eof:
-                    end = min(fed, len(data)) - len(unzip.unused_data)
-                    inner = list(_plain(b"".join(plain)))
-            except zlib.error:
-                end = None
-        if end is not None and all(fields is not None for _, _, fields, _ in inner):
-            if bad is not None:
-                yield bad, at, None, b""
-                bad = None
-            for _, _, fields, block in inner:
-                yield at, end, fields, block
-            at = end
-        else:
-            bad = at if bad is None else bad
+        plain, end, broken = _member(data, at) if data.startswith(_MEMBER, at) else (b"", None, False)
+        inner = list(_plain(plain))
+        good = [(fields, block) for _, _, fields, block in inner if fields is not None]
+        whole = end is not None and len(good) == len(inner)
+        if broken and len(inner) == 1:  # what is broken is in this record, in its headers if its digest holds
+            good = []
+        if end is None:
             later = data.find(_MEMBER, at + 1)
-            at = later if later >= 0 else len(data)
+            end = later if later >= 0 else len(data)
+        if bad is not None and (good or whole):
+            yield bad, at, None, b""
+            bad = None
+        for fields, block in good:
+            yield at, end, fields, block
+        if not whole:
+            bad = at if bad is None else bad
+        at = end
     if bad is not None:
         yield bad, len(data), None, b""
 
@@ -179,7 +232,9 @@ def _zipped(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     """Records of an archive: (first byte, end, headers, block); a gap of unreadable bytes has None for headers.
 
-    Bytes of damaged members are told as gaps even when some of their records would parse. Empty data has no rows.
+    A record in a gzip member has the member's bytes. A member that is broken, cut off or holds bad records yields the
+    records that can be read, and is told as a gap besides; the only record of a broken member is not yielded. Where a
+    checksum fails and no record shows it, a header among those yielded may be wrong. Empty data has no rows.
     """
     return _zipped(data) if data[:2] == _MEMBER[:2] or (not _VERSION.match(data) and _MEMBER in data) else _plain(data)
 
