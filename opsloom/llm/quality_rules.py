@@ -11,6 +11,7 @@ them, whatever the input. EM runs over these counts.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,12 @@ _SPACE = b"\t\n\x0b\x0c\r "
 #: Bytes that begin no code point, and so count no character.
 _INNER = bytes(range(0x80, 0xC0))
 
+#: Sentence ends of other scripts, and characters of scripts that put no space between words.
+_STOPS = re.compile("[\u3002\uff01\uff1f\uff0e\u061f\u06d4\u0964\u0965\u1362\u0589]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-MORE = "n_lines long, n_upper long, n_letters long, n_stops long, n_lower long"
+MORE = "n_lines long, n_upper long, n_letters long, n_stops long, n_lower long, n_caseless long, n_unspaced long"
 
 #: name, the measure, least value for a bad vote, greatest value for a good vote (none: the rule only ever votes bad)
 RULES: tuple[tuple[str, str, float, float | None], ...] = (
@@ -33,9 +38,9 @@ RULES: tuple[tuple[str, str, float, float | None], ...] = (
     ("shouting", "try_divide(n_upper, n_letters)", 0.3, None),
     ("repeats", "try_divide(n_repeat_words, n_words)", 0.2, None),
     ("dup_lines", "try_divide(n_dup_lines, n_lines)", 0.5, None),
-    ("word_length", "abs(try_divide(word_chars, n_words) - 5.5)", 6.0, None),
+    ("word_length", "if(2 * n_unspaced > word_chars, null, abs(try_divide(word_chars, n_words) - 5.5))", 6.0, None),
     ("long_sentences", "n_words / (n_stops + 1)", 80.0, 30.0),
-    ("few_lower", "1 - try_divide(n_lower, n_words)", 0.6, 0.3),
+    ("few_lower", "1 - try_divide(n_lower, n_words - n_caseless)", 0.6, 0.3),
 )
 #: What a rule does before any text is seen, as the probabilities of a bad vote, none and a good vote: on bad texts, on good ones.
 PRIOR = ((0.4, 0.3, 0.3), (0.002, 0.5, 0.498))
@@ -46,7 +51,7 @@ LEAST_RATIO = {0: 200.0, 2: 1.2}
 def _measure(text: str | None) -> tuple[int, ...]:
     """The measures of one text, see ``features``."""
     if not text:
-        return (0,) * 10
+        return (0,) * 12
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
@@ -69,7 +74,19 @@ def _measure(text: str | None) -> tuple[int, ...]:
     letters = sum(map(str.isalpha, text))
     stops = sum(1 for w in words if w.endswith((b".", b"?", b"!")) and not w.endswith((b"!!", b"!!.")))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, letters, stops, sum(map(bytes.islower, words))
+    lower = caseless = unspaced = 0
+    for w in words:
+        if w.isascii():
+            lower += w.islower()
+        else:
+            x = w.decode("utf-8", "surrogatepass")
+            lower += x.islower()
+            # Letters, and none of them with a case: neither lower nor not.
+            caseless += x.lower() == x.upper() and any(map(str.isalpha, x))
+    if not text.isascii():
+        stops += len(_STOPS.findall(text))
+        unspaced = len(_UNSPACED.findall(text))
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, letters, stops, lower, caseless, unspaced
 
 
 def features(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
