@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,18 +18,32 @@ WORD_PATTERN = f"[^{WORD_SEPARATORS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one process on one machine, as in tests) gets a temporary folder; on a
+    cluster it is an error, as no machine could read what another wrote.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="opsloom-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Bytes in an Arrow batch, about: what a worker gets or gives at once, whatever the rows' length (one row at least).
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session settings of multi-job operators: small Arrow batches; shuffle files go when the job that made them ends."""
+    """Session settings of multi-job operators: small Arrow batches; shuffle files go when the job that made them ends.
+
+    They stay set: results are worked out after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

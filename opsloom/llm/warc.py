@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import map_batches, prepare, shared_dir
+from opsloom.llm.common import BATCH_BYTES, map_batches, prepare, saved, shared_dir
 
 #: Payloads of at least so many bytes are stored once; later records of it are revisits.
 LEAST_REVISIT = 1000
@@ -42,25 +42,30 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to), one for each page.
 
-    A null html is an empty payload. Of equal payloads of LEAST_REVISIT bytes or more, the largest page_id is the
+    A revisit has no payload here, but its length and digest. A null html is an empty payload. Of equal payloads of LEAST_REVISIT bytes or more, the largest page_id is the
     response and the others revisit it; rows that repeat that page_id are responses too. A null page_id revisits the
     response if there is one, else it is a response.
     """
     payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    # The verdicts come from keys alone: a payload that a third of all pages share is a third of these small rows, in a
+    # join that adaptive execution can split.
+    keys = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", "payload_bytes", "payload_digest")
     shared = (
-        rows.where(F.col("payload_bytes") >= LEAST_REVISIT)
-        .groupBy("payload_bytes", "payload_digest")
+        keys.groupBy("payload_bytes", "payload_digest")
         .agg(F.count("*").alias("__n"), F.max("page_id").alias("__top"))
         .where("__n > 1 and __top is not null")
         .select("payload_bytes", "payload_digest", "__top")
     )
-    out = rows.join(shared, ["payload_bytes", "payload_digest"], "left")
-    revisits = F.col("__top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__top"))
-    return out.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("__top")).alias("refers_to"),
+    told = keys.join(shared, ["payload_bytes", "payload_digest"]).where("page_id is null or page_id <> __top")
+    told = saved(told.select(F.col("page_id").alias("__id"), F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("__digest"), "__top").distinct())
+    # A payload moves once, dealt out by page, past a table of the partition's revisits: it is never sorted.
+    mine = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__bytes"))
+    revisits = F.col("__top").isNotNull()
+    return rows.join(told.hint("shuffle_hash"), mine, "left").select(
+        "page_id", "url", F.when(~revisits, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
+        F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.col("__top").alias("refers_to"),
     )
 
 
@@ -68,21 +73,22 @@ def _clean(value: object) -> str:
     return re.sub(r"[\r\n]+", " ", str(value))
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its headers tell the payload's digest and length."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, digest: str, kind: str, refers_to: int | None, length: int | None = None) -> bytes:
+    """One WARC/1.1 record. A revisit has no block; its headers tell the payload's digest and ``length``."""
+    length = len(payload or b"") if length is None else length
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {_clean(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {length}",
     ]
     if kind == "revisit":
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    block = payload if payload and kind != "revisit" else b""
+    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
+    return b"".join(("\r\n".join(head).encode("utf-8", "replace"), b"\r\n\r\n", block, b"\r\n\r\n"))
 
 
 def write(records: DataFrame, path: str, level: int = 6) -> None:
@@ -94,12 +100,12 @@ def write(records: DataFrame, path: str, level: int = 6) -> None:
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for r in batch.to_pylist():
-            member = gzip.compress(record_bytes(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"]), level, mtime=0)
+        for row in zip(*batch.columns):  # a payload at a time becomes a Python object
+            member = gzip.compress(record_bytes(*[x.as_py() for x in row]), level, mtime=0)
             out.append((member if member[-1] == 0 else member + _EMPTY_MEMBER)[:-1])
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    members = map_batches(records.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to"), pack, "member binary")
+    members = map_batches(records.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "payload_bytes"), pack, "member binary")
     sink = members.select(F.col("member").cast("string").alias("value")).write
     sink.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
@@ -249,14 +255,14 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     for a revisit. Gaps have ``gap`` true and nulls beyond ``end_byte``.
     """
     prepare(spark)
-    # A task gets one file at a time: its memory is a file's and its records', not a batch of files.
+    # Batches end after so many bytes (see ``prepare``), so a task holds one large file or some small ones at a time.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("first_byte", pa.int64()), ("end_byte", pa.int64()), ("gap", pa.bool_()), ("record_type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
+                rows, held = [], 0
                 for first, end, fields, block in salvage(content.as_py()):
                     if fields is None:
                         rows.append((name, first, end, True, *[None] * 7))
@@ -266,9 +272,10 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                         digest = hashlib.sha1(block).hexdigest() if kind != "revisit" else fields.get("warc-payload-digest", "").rpartition(":")[2].lower()
                         length = len(block) if kind != "revisit" else int(told) if told.isdigit() else None
                         rows.append((name, first, end, False, kind, fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), digest, length, block if payloads else None))
-                    if len(rows) == 1000:
+                    held += len(block) if payloads else 0
+                    if len(rows) == 1000 or held > BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
