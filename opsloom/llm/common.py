@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words.
@@ -47,6 +47,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def named(column: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession

@@ -11,47 +11,56 @@ them, whatever the input. EM runs over these counts.
 from __future__ import annotations
 
 import math
+import operator
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import map_batches, prepare, saved
+from opsloom.llm.common import map_batches, named, prepare, saved
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b"\t\n\x0b\x0c\r "
 #: Bytes that begin no code point, and so count no character.
 _INNER = bytes(range(0x80, 0xC0))
+_UPPER, _LETTERS = string.ascii_uppercase.encode(), string.ascii_letters.encode()
+_LETTER = re.compile(rb"[A-Za-z]")
+_OTHER = re.compile("[^\x00-\x7f]")
 
 #: Sentence ends of other scripts, and characters of scripts that put no space between words.
 _STOPS = re.compile("[\u3002\uff01\uff1f\uff0e\u061f\u06d4\u0964\u0965\u1362\u0589]")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-MORE = "n_lines long, n_upper long, n_letters long, n_stops long, n_lower long, n_caseless long, n_unspaced long"
-
-#: name, the measure, least value for a bad vote, greatest value for a good vote (none: the rule only ever votes bad)
-RULES: tuple[tuple[str, str, float, float | None], ...] = (
-    ("symbols", "try_divide(n_symbols, n_words)", 0.25, None),
-    ("shouting", "try_divide(n_upper, n_letters)", 0.3, None),
-    ("repeats", "try_divide(n_repeat_words, n_words)", 0.2, None),
-    ("dup_lines", "try_divide(n_dup_lines, n_lines)", 0.5, None),
-    ("word_length", "if(2 * n_unspaced > word_chars, null, abs(try_divide(word_chars, n_words) - 5.5))", 6.0, None),
-    ("long_sentences", "n_words / (n_stops + 1)", 80.0, 30.0),
-    ("few_lower", "1 - try_divide(n_lower, n_words - n_caseless)", 0.6, 0.3),
+MORE = "n_lines long, n_upper long, n_letters long, n_stops long, n_lower long, n_caseless long, n_unspaced long, n_echoes long, n_short long, n_wordless long"
+
+#: name, the measure, least value for a bad vote, greatest value for a good vote; in between, and without a value, a rule abstains.
+RULES: tuple[tuple[str, str, float, float], ...] = (
+    ("symbols", "try_divide(n_symbols, n_words)", 0.1, 0.02),
+    ("letters", "1 - try_divide(n_letters, word_chars)", 0.25, 0.08),
+    ("shouting", "if(2 * n_caseless > n_words, null, try_divide(n_upper, n_letters))", 0.25, 0.05),
+    ("repeats", "if(n_words < 20, null, try_divide(n_repeat_words, n_words))", 0.1, 0.0),
+    ("dup_lines", "if(n_lines < 3, null, try_divide(n_dup_lines, n_lines))", 0.25, 0.0),
+    ("echoes", "try_divide(n_echoes, n_words)", 0.1, 0.03),
+    ("word_length", "if(2 * n_unspaced > word_chars, null, abs(try_divide(word_chars, n_words) - 5.5))", 2.0, 1.0),
+    ("sentences", "if(2 * n_unspaced > word_chars, null, n_words / (n_stops + 1))", 35.0, 16.0),
+    ("few_lower", "1 - try_divide(n_lower, n_words - n_caseless)", 0.4, 0.15),
+    ("wordless", "try_divide(n_wordless, n_words)", 0.2, 0.05),
+    ("few_short", "if(2 * n_unspaced > word_chars, null, 1 - try_divide(n_short, n_words))", 0.9, 0.8),
 )
-#: What a rule does before any text is seen, as the probabilities of a bad vote, none and a good vote: on bad texts, on good ones.
-PRIOR = ((0.4, 0.3, 0.3), (0.002, 0.5, 0.498))
-#: How many times likelier a vote is at least where it is right: bad votes name a plain defect; good votes say little.
-LEAST_RATIO = {0: 200.0, 2: 1.2}
+#: Where EM begins, and what it is drawn to a little: probabilities of a bad vote, none and a good vote, on bad texts and on good ones.
+PRIOR = ((0.4, 0.3, 0.3), (0.05, 0.25, 0.7))
+#: The one bound on accuracies, which only keeps the classes' sense: a vote is so many times likelier where it is right.
+LEAST_RATIO = 1.05
 
 
 def _measure(text: str | None) -> tuple[int, ...]:
     """The measures of one text, see ``features``."""
     if not text:
-        return (0,) * 12
+        return (0,) * 15
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
@@ -70,23 +79,29 @@ def _measure(text: str | None) -> tuple[int, ...]:
                     hit[j : j + 5] = True
             repeated = int(hit.sum())
     lines = [x for x in raw.split(b"\n") if x.split()]
-    upper = sum(map(str.isupper, text))
-    letters = sum(map(str.isalpha, text))
+    plain = text.isascii()
+    other = [] if plain else _OTHER.findall(text)
+    upper = len(raw) - len(raw.translate(None, _UPPER)) + sum(map(str.isupper, other))
+    letters = len(raw) - len(raw.translate(None, _LETTERS)) + sum(map(str.isalpha, other))
     stops = sum(1 for w in words if w.endswith((b".", b"?", b"!")) and not w.endswith((b"!!", b"!!.")))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    lower = caseless = unspaced = 0
+    echoes = sum(map(operator.eq, words, words[1:]))
+    lower = caseless = unspaced = short = wordless = 0
     for w in words:
         if w.isascii():
             lower += w.islower()
+            wordless += not w.isalpha() and _LETTER.search(w) is None
+            short += len(w) < 4
         else:
             x = w.decode("utf-8", "surrogatepass")
             lower += x.islower()
+            short += len(x) < 4
             # Letters, and none of them with a case: neither lower nor not.
             caseless += x.lower() == x.upper() and any(map(str.isalpha, x))
-    if not text.isascii():
+    if not plain:
         stops += len(_STOPS.findall(text))
         unspaced = len(_UNSPACED.findall(text))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, letters, stops, lower, caseless, unspaced
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, letters, stops, lower, caseless, unspaced, echoes, short, wordless
 
 
 def features(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -94,12 +109,12 @@ def features(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Da
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A null text counts as empty; all its measures are 0. Of a repeated line each
     copy after the first counts, of a repeated 5-word window every word of every copy. Columns of ``docs`` that have
-    a measure's name are replaced.
+    a measure's name, in whatever case, are replaced.
     """
     prepare(docs.sparkSession)
     names = [x.split()[0] for x in f"{BASE}, {MORE}".split(", ")]
-    keep = [c for c in docs.columns if (keep_text or c != text) and c not in names]
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
+    keep = [c for c in docs.columns if (keep_text or c != text) and c.lower() not in names]
+    frame = docs.select(*[named(c) for c in keep], named(text).cast("string").alias("__text"))
     schema = frame.drop("__text").schema
     for n in names:
         schema = schema.add(n, "long", False)
@@ -116,36 +131,31 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
-def vote(rule: tuple[str, str, float, float | None]) -> Column:
+def vote(rule: tuple[str, str, float, float]) -> Column:
     """2 for good, 0 for bad, 1 for abstaining (also where the measure has no value)."""
     _, measure, bad, good = rule
     x = F.expr(measure)
-    voted = F.when(x >= bad, 0)
-    return (voted if good is None else voted.when(x <= good, 2)).otherwise(1)
+    return F.when(x >= bad, 0).when(x <= good, 2).otherwise(1)
 
 
-def fit_votes(patterns: list[tuple[str, int]], rounds: int = 200, tolerance: float = 1e-10, strength: float = 0.1) -> tuple[float, np.ndarray]:
+def fit_votes(patterns: list[tuple[str, int]], rounds: int = 500, tolerance: float = 1e-10, strength: float = 0.01) -> tuple[float, np.ndarray]:
     """EM over counted vote patterns: the share of good texts and, by rule, class (bad, good) and vote, probabilities.
 
-    Rules are taken to be independent given the class; one that abstains says nothing. PRIOR counts as ``strength`` times the texts, so that the two
-    classes keep their sense, and accuracies are bounded by LEAST_RATIO. No patterns: the start.
+    Rules are taken to be independent given the class; one that abstains says nothing. PRIOR counts as ``strength``
+    times the texts in either class. No patterns: the start.
     """
     k = len(patterns[0][0]) if patterns else len(RULES)
     prior = np.tile(np.array(PRIOR), (k, 1, 1))
-    for j, rule in enumerate(RULES[:k]):
-        if rule[3] is None:
-            prior[j, :, 1] += prior[j, :, 2]
-            prior[j, :, 2] = 0.0
-    prob = (prior + 1e-9) / (prior + 1e-9).sum(2, keepdims=True)
-    share = 0.8
+    prob, share = prior.copy(), 0.8
     if not patterns:
         return share, prob
     votes = np.array([[int(c) for c in p] for p, _ in patterns])
     count = np.array([float(c) for _, c in patterns])
-    hot = votes[:, :, None] == np.arange(3)[None, None, :]
+    hot = (votes[:, :, None] == np.arange(3)[None, None, :]).astype(float)
     last = -math.inf
     for _ in range(rounds):
-        logs = np.stack([np.where(votes == 1, 0.0, np.log(prob[np.arange(k)[None, :], c, votes])).sum(1) for c in (0, 1)], 1) + np.log([1 - share, share])
+        # An abstaining rule is as likely on either side: its column adds nothing.
+        logs = np.einsum("pkv,ckv->pc", hot[:, :, [0, 2]], np.log(prob[:, :, [0, 2]]).transpose(1, 0, 2)) + np.log([1 - share, share])
         top = logs.max(1, keepdims=True)
         seen = np.exp(logs - top)
         post = seen / seen.sum(1, keepdims=True)
@@ -154,15 +164,10 @@ def fit_votes(patterns: list[tuple[str, int]], rounds: int = 200, tolerance: flo
         for c in (0, 1):
             sums = np.einsum("p,pkv->kv", count * post[:, c], hot) + strength * count.sum() * prior[:, c] + 1e-6
             prob[:, c, :] = sums / sums.sum(1, keepdims=True)
-        for j in range(k):  # the bounds on accuracy: what a rule votes in all stays as counted
-            for v, right, wrong in ((0, 0, 1), (2, 1, 0)):
-                weight = (1 - share, share)
-                if prob[j, right, v] < LEAST_RATIO[v] * prob[j, wrong, v]:
-                    voted = weight[0] * prob[j, 0, v] + weight[1] * prob[j, 1, v]
-                    prob[j, right, v] = min(0.95, voted / (weight[right] + weight[wrong] / LEAST_RATIO[v]))
-                    prob[j, wrong, v] = prob[j, right, v] / LEAST_RATIO[v]
-            prob[j, :, 1] = np.maximum(1e-6, 1 - prob[j, :, 0] - prob[j, :, 2])
-        prob /= prob.sum(2, keepdims=True)
+        for v, right, wrong in ((0, 0, 1), (2, 1, 0)):
+            turned = prob[:, right, v] < LEAST_RATIO * prob[:, wrong, v]
+            mean = np.sqrt(prob[turned, right, v] * prob[turned, wrong, v])
+            prob[turned, right, v], prob[turned, wrong, v] = mean * math.sqrt(LEAST_RATIO), mean / math.sqrt(LEAST_RATIO)
         if abs(level - last) < tolerance:
             break
         last = level
@@ -199,15 +204,16 @@ def apply(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
     """The columns of ``docs`` but its text, the measures, ``base_failed``, ``posterior`` and ``kept``.
 
     ``kept`` is false where ``base_failed``, else whether ``posterior`` reaches ``threshold``. Rows are judged one by
-    one: repeated rows and equal texts get equal verdicts. An empty table gives an empty result.
+    one: repeated rows and equal texts get equal verdicts. Columns of ``docs`` with these names are replaced. An empty table gives an empty result.
     """
-    measured = saved(features(docs, text))
+    clash = ("posterior", "base_failed", "kept")
+    measured = saved(features(docs.select(*[named(c) for c in docs.columns if c.lower() not in clash]), text))
     return judged(measured, *fit(measured), threshold)
 
 
 def filtered(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``apply`` keeps, with their columns as they were."""
-    share, prob = fit(features(docs.select(text), text))
+    share, prob = fit(features(docs.select(named(text)), text))
     # Measured again beside the texts: that costs less than to join or to write them once more.
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     out = judged(features(docs.withColumnsRenamed(names), names[text], keep_text=True), share, prob, threshold)
