@@ -60,13 +60,19 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; None for no rows."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, after: Callable[[], object] | None = None) -> DataFrame:
+    """``mapInArrow`` with a function of one batch; None for no rows. ``after`` is called when a task ends.
+
+    Workers outlive their tasks, so what a task remembered goes with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
+        if after is not None:
+            after()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -95,6 +101,27 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
+#: Keys that hold more than such a part of a table's rows are hot; so there are no more of them than this.
+MOST_HOT = 4096
+
+
+def hot_join(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``counted`` (a row a key, of fixed length; ``count`` tells the key's rows) on ``key``.
+
+    Hot keys, MOST_HOT at most, are joined by broadcast where their rows are; only the others' rows are shuffled, so
+    no task gets more than a small part of the rows of a key. All rows are kept; ``count`` is left out.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    least = max(total // MOST_HOT, 100)
+    hot = counted.where(F.col(count) > least)
+    plain = rows.join(counted.drop(count), key)
+    if not hot.limit(1).count():
+        return plain
+    hot = F.broadcast(hot.drop(count))  # total / least rows bound it
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counted.where(F.col(count) <= least).drop(count), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b of one orderable type): rows (node, component), component the least node.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import bitmap, in_bitmap, map_batches, prepare, saved
+from opsloom.llm.common import bitmap, hot_join, in_bitmap, map_batches, named, prepare, saved
 
 #: Lines that the rolling hash looks at, and the mean number of lines in a chunk.
 WINDOW, MEAN_LINES = 2, 3
@@ -57,32 +57,27 @@ def units(lines: list[bytes], extend: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _digest(body: bytes) -> bytes:
-    return hashlib.blake2b(body, digest_size=16).digest()
-
-
-def _row_id(key: str | Column, text: Column) -> tuple[Column, Column]:
+def _row_id(key: Column, text: Column) -> tuple[Column, Column]:
     """128 bits that stand for a row's key and text: what repeats both shares them. Never null."""
-    key = F.col(key) if isinstance(key, str) else key
     same = (key.isNull(), key, text)
     return F.xxhash64(*same), F.xxhash64(F.lit("row"), *same)
 
 
-def _unit_rows(docs: DataFrame, key: str, text: str, extend: bool, only: np.ndarray | None) -> DataFrame:
-    """Rows (k, r, v, line, digest, body) of the units whose hash may be in the bitmap ``only``; without it (h) alone."""
-    t = F.col(text).cast("string")
-    r, v = _row_id(key, t)
-    frame = docs.select(F.col(key).alias("k"), t.alias("t"), r.alias("r"), v.alias("v")) if only is not None else docs.select(t.alias("t"))
+def _unit_rows(docs: DataFrame, key: str, text: str, extend: bool, only: np.ndarray | None, digest_bytes: int) -> DataFrame:
+    """Rows (k, r, v, line, size, digest, body) of the units whose hash may be in the bitmap ``only``; without it (h) alone."""
+    t = named(text).cast("string")
+    r, v = _row_id(named(key), t)
+    frame = docs.select(named(key).alias("k"), t.alias("t"), r.alias("r"), v.alias("v")) if only is not None else docs.select(t.alias("t"))
     at = frame.columns.index("t")
     sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        bodies, firsts, owner = [], [], []
+        bodies, places, owner = [], [], []
         for i, t in enumerate(batch.column(at).to_pylist()):
             lines = t.encode("utf-8", "surrogatepass").split(b"\n") if t else []
             found = units(lines, extend)
             bodies += [b"\n".join(lines[a : a + n]) for a, n in found]
-            firsts += [a for a, _ in found]
+            places += found
             owner += [i] * len(found)
         if not bodies:
             return None
@@ -93,59 +88,67 @@ def _unit_rows(docs: DataFrame, key: str, text: str, extend: bool, only: np.ndar
         if not take:
             return None
         rows = pa.array([owner[i] for i in take])
-        cols = [batch.column(0).take(rows), batch.column(2).take(rows), batch.column(3).take(rows), pa.array([firsts[i] for i in take], pa.int32())]
-        cols += [pa.array([_digest(bodies[i]) for i in take], pa.binary()), pa.array([bodies[i] for i in take], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["k", "r", "v", "line", "digest", "body"])
+        cols = [batch.column(0).take(rows), batch.column(2).take(rows), batch.column(3).take(rows)]
+        cols += [pa.array([places[i][j] for i in take], pa.int32()) for j in (0, 1)]
+        cols += [pa.array([hashlib.blake2b(bodies[i], digest_size=digest_bytes).digest() for i in take], pa.binary()), pa.array([bodies[i] for i in take], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["k", "r", "v", "line", "size", "digest", "body"])
 
-    return map_batches(frame, cut, "h long" if only is None else f"k {frame.schema['k'].dataType.simpleString()}, r long, v long, line int, digest binary, body binary")
+    kind = docs.select(named(key)).schema[0].dataType.simpleString()
+    return map_batches(frame, cut, "h long" if only is None else f"k {kind}, r long, v long, line int, size int, digest binary, body binary")
 
 
-def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", extend: bool = False) -> DataFrame:
-    """Units to remove: rows (r, v, line, digest), the id of key and text and the number of the unit's first line.
+def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", extend: bool = False, digest_bytes: int = 16) -> DataFrame:
+    """Units to remove: rows (r, v, line, size), the id of key and text, the number of the unit's first line and of its lines.
 
     Of equal units the one with the least (key, line) stays; null keys come last. Rows that repeat both key and text
-    count as one here and are told apart in ``apply``.
+    count as one here and are told apart in ``apply``. Units are equal where their bytes are, whatever their digests.
     """
-    again = _unit_rows(docs, key, text, extend, None).groupBy("h").count().where("count > 1").select("h")
-    found = saved(_unit_rows(docs, key, text, extend, bitmap(again, FILTER_BITS)))
+    again = _unit_rows(docs, key, text, extend, None, digest_bytes).groupBy("h").count().where("count > 1").select("h")
+    found = saved(_unit_rows(docs, key, text, extend, bitmap(again, FILTER_BITS), digest_bytes))
     # Equal bytes: the group's key has them; counts and minima are combined before the shuffle, so a hot unit is one row a task.
     place = F.struct(F.col("k").isNull().alias("none"), "k", "line", "r", "v")
-    first = found.groupBy("digest", "body").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
-    # A digest of 128 bits stands for one body unless two bodies share it; then their digests are left alone.
-    first = saved(first.groupBy("digest").agg(F.count("*").alias("bodies"), F.min("first").alias("first")).where("bodies = 1").select("digest", "first"))
-    seen = found.select("r", "v", "line", "digest").join(first, "digest")
-    return seen.where("not (r = first.r and v = first.v and line = first.line)").select("r", "v", "line", "digest")
-
-
-def _dropped(lines: list[bytes], drop: dict[int, set[bytes]] | None, extend: bool) -> list[bool]:
-    """Which lines go with the units in ``drop`` (digests by first line), or with all units where it is None."""
+    groups = found.groupBy("digest", "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    # A digest with one body stands for it from here on.
+    first = saved(groups.groupBy("digest").agg(F.count("*").alias("bodies"), F.sum("n").alias("n"), F.min("first").alias("first")))
+    places = found.select("r", "v", "line", "size", "digest")
+    seen = hot_join(places, first.where("bodies = 1 and n > 1").select("digest", "first", "n"), "digest", "n")
+    clashes = first.where("bodies > 1").select("digest")
+    if clashes.limit(1).count():  # bodies that share a digest are joined by their bytes
+        own = groups.where("n > 1").join(clashes, "digest", "left_semi").select("digest", "body", "first")
+        seen = seen.unionByName(found.join(own, ["digest", "body"]).select(*places.columns, "first"))
+    return seen.where("not (r = first.r and v = first.v and line = first.line)").select("r", "v", "line", "size")
+
+
+def _dropped(lines: list[bytes], drop: set[tuple[int, int]] | None, extend: bool) -> list[bool]:
+    """Which lines go with the units in ``drop`` (first line, lines), or with all units where it is None."""
     gone = [False] * len(lines)
+    firsts = {a for a, _ in drop or ()}
     for a, n in units(lines, extend):
-        if drop is None or (a in drop and _digest(b"\n".join(lines[a : a + n])) in drop[a]):
+        if drop is None or (a, n) in drop:
             # A line repeated three times: the second pair shares a line with the first, which stays.
-            kept = drop is not None and n == 2 and a > 0 and a - 1 not in drop and lines[a - 1] == lines[a] == lines[a + 1] and extend
+            kept = drop is not None and n == 2 and a > 0 and a - 1 not in firsts and lines[a - 1] == lines[a] == lines[a + 1] and extend
             gone[a + kept : a + n] = [True] * (n - kept)
     return gone
 
 
-def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", extend: bool = False) -> DataFrame:
+def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", extend: bool = False, digest_bytes: int = 16) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``, and ``n_removed_lines`` and ``n_removed_chunks``.
 
     With ``extend`` every line goes that lies in a run of two lines or more that occurred before, and
-    ``n_removed_chunks`` counts the runs removed. All rows and columns stay (columns of these two names are replaced).
-    A null text stays null and loses nothing; a text that loses every line becomes empty. A text left as it was is
-    returned byte for byte. Of rows that repeat both key and text one counts as the first; the others lose all units.
+    ``n_removed_chunks`` counts the runs removed. All rows and columns stay (columns of these two names, in whatever
+    case, are replaced). A null text stays null and loses nothing; a text that loses every line becomes empty. A text
+    left as it was is returned byte for byte. Rows that share a key but not the text are told apart. Of rows that
+    repeat both key and text one counts as the first; the others lose all units.
     """
     prepare(docs.sparkSession)
-    gone = repeated_chunks(docs, key, text, extend).groupBy("r", "v").agg(F.collect_set(F.struct("line", "digest")).alias("__drop"))
-    gone = gone.withColumnsRenamed({"r": "__r", "v": "__v"})
-    keep = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_chunks")]
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep])
-    r, v = _row_id(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"))
-    joined = frame.withColumns({"__r": r, "__v": v}).join(gone, ["__r", "__v"], "left")
+    gone = repeated_chunks(docs, key, text, extend, digest_bytes).groupBy("r", "v").agg(F.collect_set(F.struct("line", "size")).alias("drop"))
+    keep = [c for c in docs.columns if c.lower() not in ("n_removed_lines", "n_removed_chunks")]
+    names = {c: f"c{i}" for i, c in enumerate(keep)}
+    r, v = _row_id(named(key), named(text).cast("string"))
+    frame = docs.select(*[named(c).alias(new) for c, new in names.items()], r.alias("r"), v.alias("v"))
     # The join has dealt the rows out by these two already.
-    joined = joined.withColumn("__nth", F.row_number().over(Window.partitionBy("__r", "__v").orderBy("__r"))).select(*[F.col(f"`{c}`") for c in keep], "__drop", "__nth")
-    schema = frame.schema.add("n_removed_lines", "long").add("n_removed_chunks", "long")
+    joined = frame.join(gone, ["r", "v"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("r", "v").orderBy("r"))).select(*names.values(), "drop", "nth")
+    schema = docs.select(*[named(c) for c in keep]).schema.add("n_removed_lines", "long").add("n_removed_chunks", "long")
     at = keep.index(text)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,11 +157,8 @@ def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", extend: bool
         for i, found in enumerate(batch.column(len(keep)).to_pylist()):
             n = runs = 0
             if texts[i] and (found or nth[i] > 1):
-                drop: dict[int, set[bytes]] = {}
-                for x in found or ():
-                    drop.setdefault(x["line"], set()).add(x["digest"])
                 lines = texts[i].encode("utf-8", "surrogatepass").split(b"\n")
-                lost = _dropped(lines, drop if nth[i] == 1 else None, extend)
+                lost = _dropped(lines, {(x["line"], x["size"]) for x in found or ()} if nth[i] == 1 else None, extend)
                 n = sum(lost)
                 if n:
                     ends = {a + size for a, size in units(lines, False)} if not extend else set()

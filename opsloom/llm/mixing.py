@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import prepare, saved
+from opsloom.llm.common import named, prepare, saved
 
 #: What ends a token here: white space and light punctuation.
 SPLIT = "[\\x20\\x09-\\x0D.,;:?]+"
@@ -32,8 +32,8 @@ FULL = 100.0
 SMOOTH, RARE, SIGNIFICANT = 5.0, 2.0, 5.0
 #: Share of some domain's documents that a bucket needs to count; shingle hashes by which copies are told.
 SUPPORT, COPY_KEYS = 0.02, 6
-#: Steps at most, the residual (share of all tokens) that ends them, and the least part of it that a step must take off.
-STEPS, CLOSE, PROGRESS = 40, 1e-6, 0.001
+#: A guard against steps without end, the residual (share of all tokens) that ends them, and the least part of it that a step must take off.
+STEPS, CLOSE, PROGRESS = 400, 1e-6, 0.001
 #: Domains of the labels table, and the weights asked for.
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = (0.90, 0.05, 0.05)
@@ -67,11 +67,6 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", domain.alias("domain"))
 
 
-def toxic_domains(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) with 1 for toxic and 0 for other documents; rows with nulls are left out."""
-    return labels.where("doc_id is not null and toxic is not null").select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("domain"))
-
-
 def _least_hash(seed: int) -> Column:
     return F.array_min(F.transform("h", lambda h: F.xxhash64(h, F.lit(seed))))
 
@@ -136,6 +131,15 @@ def with_posteriors(df: DataFrame, mix: Mixture, text: str) -> DataFrame:
     return out.withColumns({f"__p{k}": F.col(x) / total for k, x in enumerate(names)}).drop(*names, "__top")
 
 
+@dataclass
+class Fit:
+    """The steps, how far the shares of expected tokens are off the targets (the largest difference), and whether they meet them."""
+
+    steps: list[list[float]]
+    residual: float = 0.0
+    converged: bool = True
+
+
 def rate(steps: list[list[float]], n_domains: int) -> Column:
     """The rate after ``steps``, see ``fit``: it starts at 1, and what each step leaves is projected to what is not negative."""
     if not steps:
@@ -151,20 +155,21 @@ def rate(steps: list[list[float]], n_domains: int) -> Column:
     return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), start, step, lambda at: at["r"])
 
 
-def fit(scored: DataFrame, targets: tuple[float, ...]) -> list[list[float]]:
+def fit(scored: DataFrame, targets: tuple[float, ...], most_steps: int = STEPS) -> Fit:
     """The steps for a table with __n and __p columns; targets are weights of the domains, which need not sum to 1.
 
     A step is the gradient's weights by domain and the momentum: the gradient is taken at the rates moved on by so
     much of their last change. Totals are linear in the rates, so those of the moved rates need no pass of their own.
-    Momentum starts anew where a step has brought next to nothing; where one without it has not either, the steps end.
+    Momentum starts anew where a step has brought next to nothing; where one without it has not either, the steps end:
+    the least squares are reached, whether they meet the targets or not. ``most_steps`` is a guard, not the usual end.
     """
     k = len(targets)
     p = [F.col(f"__p{i}") for i in range(k)]
-    sums = scored.agg(F.sum("__n").alias("n"), *[F.sum(F.col("__n") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
+    sums = scored.agg(F.sum("__n").alias("n"), *[F.sum(F.col("__n") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     total = float(sums["n"] or 0)
     if not total:
-        return []
-    normal = np.array([[sums[f"m{i}_{j}"] for j in range(k)] for i in range(k)], dtype=float) / total
+        return Fit([])
+    normal = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float) / total
     inverse = np.linalg.pinv(normal, rcond=1e-12, hermitian=True)
     goal = np.array(targets, dtype=float) / sum(targets)
     steps: list[list[float]] = []
@@ -175,7 +180,7 @@ def fit(scored: DataFrame, targets: tuple[float, ...]) -> list[list[float]]:
         now = np.array([row[f"s{i}"] for i in range(k)]) / total
         rest = now - goal
         off = float(np.sqrt(max(0.0, rest @ inverse @ rest)))  # what the steps make smaller
-        if np.abs(rest).max() < CLOSE or len(steps) == STEPS:
+        if np.abs(rest).max() < CLOSE or len(steps) == most_steps:
             break
         if off > (1 - PROGRESS) * last:
             if not momentum:
@@ -187,35 +192,39 @@ def fit(scored: DataFrame, targets: tuple[float, ...]) -> list[list[float]]:
         ahead = rest if before is None else rest + momentum * (now - before)
         before = now
         steps.append([*(inverse @ ahead).tolist(), momentum])
-    return steps
+    return Fit(steps, float(np.abs(rest).max()), bool(np.abs(rest).max() < CLOSE))
 
 
 def apply(docs: DataFrame, domains: DataFrame, targets: tuple[float, ...] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: (doc_id, n_tokens, p_0 .. p_k, rate).
+    """Per row of ``docs``: (doc_id, n_tokens, p_0 .. p_k, rate, residual, converged).
 
     ``domains`` has (doc_id, domain from 0). Null and empty texts have no tokens and the priors as posterior; their
     rate follows from these. Repeated rows are documents of their own. If no rates meet the targets (a domain without
-    documents, say) the rates are those of the least squares as far as STEPS go.
+    documents, say) the rates are those of the least squares; ``residual`` and ``converged``, see ``Fit``, tell so in each row.
     """
     prepare(docs.sparkSession)
     mix = learn(docs, domains, key, text, len(targets))
     scored = with_posteriors(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__t")), mix, "__t").drop("__t")
     scored = saved(scored)
-    r = rate(fit(scored, targets), len(targets))
-    return scored.select("doc_id", F.col("__n").alias("n_tokens"), *[F.col(f"__p{i}").alias(f"p_{i}") for i in range(len(targets))], r.alias("rate"))
+    found = fit(scored, targets)
+    shares = [F.col(f"__p{i}").alias(f"p_{i}") for i in range(len(targets))]
+    told = [rate(found.steps, len(targets)).alias("rate"), F.lit(found.residual).alias("residual"), F.lit(found.converged).alias("converged")]
+    return scored.select("doc_id", F.col("__n").alias("n_tokens"), *shares, *told)
 
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: tuple[float, ...] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more if a hash of its key is below the rest.
 
-    The columns are those of ``docs``. Rows of one key fare alike; a null key counts as one key.
+    The columns are those of ``docs``, whatever their names. Rows of one key fare alike; a null key counts as one key.
     """
     prepare(docs.sparkSession)
     mix = learn(docs, domains, key, text, len(targets))
-    scored = saved(with_posteriors(docs.select(F.col(text).alias("__t")), mix, "__t").drop("__t"))
-    steps = fit(scored, targets)
-    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = F.floor(rate(steps, len(targets)) + chance).cast("int")
-    out = with_posteriors(docs, mix, text)
-    # The outer form, with its nulls left out afterwards: a filter on the times would be moved down and work the posteriors out twice.
-    return out.withColumn("__again", F.explode_outer(F.array_repeat(F.lit(0), times))).where("__again is not null").select(*[out[c] for c in docs.columns])
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    # Written with the texts, which are scored once; the steps read the posteriors alone.
+    scored = saved(with_posteriors(docs.select(*[named(c).alias(new) for c, new in names.items()]), mix, names[text]))
+    found = fit(scored, targets)
+    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(names[key])), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = F.floor(rate(found.steps, len(targets)) + chance).cast("int")
+    # The outer form, with its nulls left out afterwards: a filter on the times would be moved down and work the rates out twice.
+    out = scored.withColumn("again", F.explode_outer(F.array_repeat(F.lit(0), times))).where("again is not null")
+    return out.select(*[F.col(new).alias(c) for c, new in names.items()])

@@ -51,6 +51,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted hashes (int64) of a text's distinct shingles: A-Z in lower case; with under WORDS words, all as one."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -113,7 +117,7 @@ def _sets(docs: DataFrame, key: str, text: str, only: np.ndarray | None) -> Data
             names=["k", "n", "digest", "part", "need"],
         )
 
-    return map_batches(frame, make, f"k {kind}, n long, digest binary, part array<long>, need long")
+    return map_batches(frame, make, f"k {kind}, n long, digest binary, part array<long>, need long", after=_forget)
 
 
 class _Forest:

@@ -31,7 +31,6 @@ HIDDEN, EPOCHS, STEP, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 TASKS, SLAB, REMEMBERED = 16, 1 << 11, 400_000
 #: Scores of this or more predict label 1.
 THRESHOLD = 0.3
-_REPEAT = b"\x00again"
 _CLASSES = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
 
@@ -46,6 +45,12 @@ class _Tokens(dict):
 
 
 _tokens = _Tokens()
+
+
+def _forget() -> None:
+    _tokens.clear()
+
+
 _AGAIN = WORDS + SHAPES  # the vector of a word that repeats the one before it
 
 
@@ -198,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
     id_type = taken.schema["__id"].dataType.simpleString()
-    pooled = map_batches(taken, pool, f"id {id_type}, y int, x binary").collect()  # ``most`` rows of 516 bytes
+    pooled = map_batches(taken, pool, f"id {id_type}, y int, x binary", after=_forget).collect()  # ``most`` rows of 516 bytes
     pooled.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["x"]))
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in pooled], dtype=np.float64).reshape(-1, 2 * DIM + 1)
     return vectors, Network(x, np.array([r["y"] for r in pooled], dtype=np.float64))
@@ -220,4 +225,4 @@ def apply(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("t"))
-    return map_batches(rows, score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return map_batches(rows, score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int", after=_forget)

@@ -17,6 +17,7 @@ import heapq
 import re
 import struct
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from opsloom.llm.common import map_batches, prepare
+from opsloom.llm.common import map_batches, named, prepare
 
 MARK = "▁"
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Units of more characters go through a heap of merges (byte-pair) or a lattice of one row (unigram).
 LONG_UNIT = 64
-#: Units and pairs of pieces remembered in a worker at most; then only those of the texts at hand stay.
-REMEMBERED = 1_000_000
+#: Units and pairs of pieces remembered in a worker at most, over all its tasks; then only those of the texts at hand stay.
+REMEMBERED, PAIRS = 400_000, 300_000
 _SLOT_BITS = 20
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -185,7 +186,7 @@ class Codec:
         ok = self.slot_open[slots]
         missed = np.flatnonzero(self.slot_keys[slots] != keys)
         if len(missed):
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             new, back = np.unique(keys[missed], return_inverse=True)
             found = np.array([self._pair_open(k) for k in new.tolist()], dtype=bool)[back]
@@ -300,7 +301,7 @@ class Codec:
         out, at = [None] * len(parts), 0
         while at < len(parts):  # so many texts that their units can be remembered together
             new, end = set(), at
-            while end < len(parts) and (end == at or len(new) < REMEMBERED // 8):
+            while end < len(parts) and (end == at or len(new) < REMEMBERED // 2):
                 new.update(parts[end] or ())
                 end += 1
             self.learn(new)
@@ -319,8 +320,19 @@ class Codec:
         return text[1:] if self.m.dummy and text.startswith(" ") else text
 
 
+#: The codec of a worker, by its model's digest: later tasks go on with the units it knows.
+_codecs: dict[bytes, Codec] = {}
+
+
+def _codec(key: bytes, data: Callable[[], bytes]) -> Codec:
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(Model(data()))
+    return _codecs[key]
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with column ``ids`` (array<int>, null for a null text); a column of that name is replaced."""
+    """``docs`` with column ``ids`` (array<int>, null for a null text); a column of that name, in whatever case, is replaced."""
     return _mapped(docs, model_path, text, f"{ids} array<int>", lambda c, t: [pa.array(c.encode(t), pa.list_(pa.int32()))])
 
 
@@ -350,20 +362,24 @@ def digest(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
 def _mapped(docs: DataFrame, model_path: str, column: str, new: str, fn) -> DataFrame:
     prepare(docs.sparkSession)
-    model = Model.load(model_path)  # read by the driver and sent along: half a megabyte
+    with open(model_path, "rb") as f:
+        data = f.read()
+    Model(data)  # what is not supported is told here
+    key, sent = hashlib.sha1(data).digest(), docs.sparkSession.sparkContext.broadcast(data)  # half a megabyte
     names = [x.split()[0] for x in new.split(", ")]
-    keep = [c for c in docs.columns if c not in names or c == column]
-    out_names = [c for c in keep if c not in names] + names
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep if c not in names]).schema
+    low = {x.lower() for x in names}
+    keep = [c for c in docs.columns if c.lower() not in low or c == column]
+    stay = [c for c in keep if c.lower() not in low]
+    out_names = stay + names
+    frame = docs.select(*[named(c) for c in keep])
+    schema = docs.select(*[named(c) for c in stay]).schema
     for x in new.split(", "):
         name, kind = x.split(" ", 1)
         schema = schema.add(name, DataType.fromDDL(kind))
-    at, codecs = keep.index(column), {}
+    at = keep.index(column)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = codecs.get(0) or codecs.setdefault(0, Codec(model))
-        made = fn(codec, batch.column(at).to_pylist())
-        return pa.RecordBatch.from_arrays([c for c, n in zip(batch.columns, keep) if n not in names] + made, names=out_names)
+        made = fn(_codec(key, lambda: sent.value), batch.column(at).to_pylist())
+        return pa.RecordBatch.from_arrays([c for c, n in zip(batch.columns, keep) if n in stay] + made, names=out_names)
 
     return map_batches(frame, run, schema)
