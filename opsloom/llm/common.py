@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,12 +54,26 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/opsloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete what ``saved`` wrote for these tables; nothing that is still to be worked out may read them."""
+    for table in tables:
+        if path := _folders.pop(table, None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, after: Callable[[], object] | None = None) -> DataFrame:
@@ -77,12 +93,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``2**bits`` bits holding the one long column of ``hashes`` (taken modulo its size).
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap holding the one long column of ``hashes`` (taken modulo its size): eight bits a hash, at least.
 
-    Its size is fixed, whatever the input: it may be sent to the driver and broadcast. It only ever narrows a
-    search, and what passes is joined exactly afterwards, so a full bitmap costs time, never results.
+    It follows the input up to ``2**MOST_BITS`` bits: so far it may be sent to the driver and broadcast. It only ever
+    narrows a search, and what passes is joined exactly afterwards, so a full bitmap costs time, never results.
     """
+    hashes = saved(hashes)
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(8 * max(hashes.count(), 1)))))
     h = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
     words = (
         hashes.select(F.shiftright(h, 6).alias("word"), F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))").alias("bit"))
@@ -92,6 +110,7 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     )
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[words["word"].to_numpy(dtype=np.int64)] = words["bit"].to_numpy(dtype=np.int64)
+    discarded(hashes)
     return out.view(np.uint64)
 
 
@@ -101,6 +120,8 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
+#: A bitmap has 32 MB at most.
+MOST_BITS = 28
 #: Keys that hold more than such a part of a table's rows are hot; so there are no more of them than this.
 MOST_HOT = 4096
 
@@ -109,15 +130,14 @@ def hot_join(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataF
     """Inner join of ``rows`` with ``counted`` (a row a key, of fixed length; ``count`` tells the key's rows) on ``key``.
 
     Hot keys, MOST_HOT at most, are joined by broadcast where their rows are; only the others' rows are shuffled, so
-    no task gets more than a small part of the rows of a key. All rows are kept; ``count`` is left out.
+    no task gets more than a small part of the rows of a key. All rows are kept; ``count`` is left out. ``counted``
+    is read some times over: a saved table.
     """
-    total = counted.agg(F.sum(count)).first()[0] or 0
-    least = max(total // MOST_HOT, 100)
-    hot = counted.where(F.col(count) > least)
-    plain = rows.join(counted.drop(count), key)
-    if not hot.limit(1).count():
-        return plain
-    hot = F.broadcast(hot.drop(count))  # total / least rows bound it
+    told = counted.agg(F.sum(count).alias("total"), F.max(count).alias("top")).first()
+    least = max((told["total"] or 0) // MOST_HOT, 100)
+    if (told["top"] or 0) <= least:
+        return rows.join(counted.drop(count), key)
+    hot = F.broadcast(counted.where(F.col(count) > least).drop(count))  # total / least rows at most
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counted.where(F.col(count) <= least).drop(count), key)
     return rows.join(hot, key).unionByName(rest)
 
@@ -125,19 +145,21 @@ def hot_join(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataF
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b of one orderable type): rows (node, component), component the least node.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder. Both steps take only
-    minima over a node's neighbours, which are combined before they are shuffled. Nodes without an edge to another
-    node have no row.
+    Alternates large-star and small-star steps; each is written to the shared folder, and the one before deleted. Both
+    take only minima over a node's neighbours, which are combined before they are shuffled, and join them to the
+    edges, hot centres by broadcast. Nodes without an edge to another node have no row.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = saved(small.where("a <> b").distinct())
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = saved(hot_join(both.where("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        nearest = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        then = saved(hot_join(large, nearest, "a", "n").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct())
+        discarded(now, least, large, nearest)
+        now = then
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if seen == last:
             break

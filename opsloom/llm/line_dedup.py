@@ -22,8 +22,6 @@ from opsloom.llm.common import bitmap, hot_join, in_bitmap, map_batches, named,
 
 #: Lines that the rolling hash looks at, and the mean number of lines in a chunk.
 WINDOW, MEAN_LINES = 2, 3
-#: Bits of the filter that keeps single units from being shuffled: 4 MB, whatever the input.
-FILTER_BITS = 25
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -104,7 +102,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", ex
     count as one here and are told apart in ``apply``. Units are equal where their bytes are, whatever their digests.
     """
     again = _unit_rows(docs, key, text, extend, None, digest_bytes).groupBy("h").count().where("count > 1").select("h")
-    found = saved(_unit_rows(docs, key, text, extend, bitmap(again, FILTER_BITS), digest_bytes))
+    found = saved(_unit_rows(docs, key, text, extend, bitmap(again), digest_bytes))
     # Equal bytes: the group's key has them; counts and minima are combined before the shuffle, so a hot unit is one row a task.
     place = F.struct(F.col("k").isNull().alias("none"), "k", "line", "r", "v")
     groups = found.groupBy("digest", "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))

@@ -28,13 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import bitmap, components, in_bitmap, map_batches, prepare, saved
+from opsloom.llm.common import bitmap, components, discarded, hot_join, in_bitmap, map_batches, named, prepare, saved
 
 WORDS = 5
 #: Shingles in a unit of the search: what one task holds at a time.
 UNIT = 2_000_000
-#: Bits of the filter that keeps the texts of left-out sets from being read again: 2 MB, whatever the input.
-FILTER_BITS = 24
 #: Weight of a lookup against a merge step in the choice of how many lists are set aside.
 MU = 0.0085
 #: Words remembered in a worker at most; then it begins anew.
@@ -95,7 +93,7 @@ def need(n: int) -> int:
 
 def _sets(docs: DataFrame, key: str, text: str, only: np.ndarray | None) -> DataFrame:
     """Rows (k, n, digest, part, need): part is the prefix, or the whole set of texts whose key may be in ``only``."""
-    frame = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("kh"), F.col(text).cast("string").alias("t"))
+    frame = docs.select(named(key).alias("k"), F.xxhash64(named(key)).alias("kh"), named(text).cast("string").alias("t"))
     kind = frame.schema["k"].dataType.simpleString()
     sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
@@ -217,6 +215,27 @@ def _search_unit(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [digests[x] for x, _ in found], "b": [digests[y] for _, y in found]})
 
 
+def _shared_entries(sets: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """Rows (keep, s, df) of the shingles in ``column`` that more than one row of ``sets`` holds, and how many do.
+
+    Counts are combined before they are shuffled. Single shingles, nearly all of them in most corpora, are left out
+    by a bitmap before the counts are joined to the rest; a hot shingle's rows stay where they are.
+    """
+    counts = saved(sets.select(F.explode(column).alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1").withColumn("n", F.col("df")))
+    sent = sets.sparkSession.sparkContext.broadcast(bitmap(counts.select("s")))
+    frame = sets.select(*keep, F.col(column).alias("s"))
+
+    def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(len(keep))
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+        ok = in_bitmap(sent.value, np.ascontiguousarray(flat)) if len(flat) else np.zeros(0, dtype=bool)
+        taken = np.r_[0, np.cumsum(ok)][ends]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(taken, pa.int32()), pa.array(flat[ok]))], names=[*keep, "s"])
+
+    entries = map_batches(frame, narrow, frame.schema.simpleString()[len("struct<") : -1].replace(":", " ")).select(*keep, F.explode("s").alias("s"))
+    return hot_join(entries, counts, "s", "n")
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The texts (k, n, digest) and links (a, b) between digests that connect all that is linked."""
     prepare(docs.sparkSession)
@@ -224,25 +243,24 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     texts = rows.select("k", "n", "digest")
     # 2. sets with too few shared shingles in their prefixes
     node = F.xxhash64("digest").alias("node")
-    once = rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("part").alias("part"))
-    entries = once.select(node, F.explode("part").alias("s"))
-    shared = entries.withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1").groupBy("node").agg(F.count("*").alias("m"))
-    nodes = rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("k"), F.min("need").alias("need")).withColumn("node", node)
-    left = saved(nodes.join(shared, "node").where("m >= need").select("digest", "k"))
+    once = saved(rows.where("n > 0").groupBy("digest").agg(F.min("k").alias("k"), F.first("need").alias("need"), F.first("part").alias("part")).withColumn("node", node))
+    shared = _shared_entries(once, "part", ["node"]).groupBy("node").agg(F.count("*").alias("m"))
+    left = saved(once.select("digest", "k", "need", "node").join(shared, "node").where("m >= need").select("digest", "k"))
+    discarded(once)
     # 3. whole sets of what is left, by rarity
-    only = bitmap(left.select(F.xxhash64("k").alias("h")), FILTER_BITS)
+    only = bitmap(left.select(F.xxhash64("k").alias("h")))
     again = _sets(docs, key, text, only).join(left.select(F.col("digest").alias("d"), F.col("k").alias("lk")), (F.col("digest") == F.col("d")) & F.col("k").eqNullSafe(F.col("lk")))
     sets = saved(again.select("digest", node, "n", F.col("part").alias("tokens")).dropDuplicates(["digest"]))
-    counted = sets.select("node", "n", F.explode("tokens").alias("s")).withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1")
-    rare = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("by"))
+    rare = _shared_entries(sets, "tokens", ["node", "n"]).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("by"))
     spare = F.expr("n - ceil(n * 4 / 5) + 1 - (n - size(by))").cast("int")  # shared shingles in the prefix of the rarest
     prefix = saved(rare.withColumn("spare", spare).where("spare > 0").select("node", F.explode(F.slice("by", F.lit(1), F.col("spare"))).alias("e")).select("node", F.col("e.s").alias("s")))
-    tops = prefix.groupBy("s").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1").select("s", "top")
-    star = prefix.join(tops, "s").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
+    tops = saved(prefix.groupBy("s").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1"))
+    star = hot_join(prefix, tops, "s", "n").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
     blobs = components(star)
     # 4. the search itself
     grouped = _units(sets.join(blobs.withColumnRenamed("component", "blob"), "node"))
     found = saved(grouped.groupBy("u", "i", "j").applyInPandas(_search_unit, "a binary, b binary"))
+    discarded(left, sets, prefix, tops)
     return texts, found
 
 
@@ -259,8 +277,8 @@ def apply(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     least = inside.groupBy("component").agg(F.min("k").alias("component_id"))
     linked = inside.join(least, "component").select("digest", "component_id")
     alone = nodes.join(parts, nodes["digest"] == parts["node"], "left_anti").select("digest", F.col("k").alias("component_id"))
-    named = linked.union(alone).withColumnRenamed("digest", "d")
-    out = texts.join(named, texts["digest"] == named["d"], "left")
+    told = linked.union(alone).withColumnRenamed("digest", "d")
+    out = texts.join(told, texts["digest"] == told["d"], "left")
     # Empty sets have no digest, and so no component but their own key.
     return out.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -271,8 +289,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Rows that share a key are one document, of which the least text stays. Rows with a null key cannot be told apart
     and all stay.
     """
-    named = apply(docs, key, text)
-    kept = named.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs[key] == kept["__kept"], "left_semi")
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col("__nth") == 1).drop("__nth")
-    return rows.unionByName(docs.where(F.col(key).isNull()))
+    told = apply(docs, key, text)
+    kept = told.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    frame = docs.select(*[named(c).alias(new) for c, new in names.items()])
+    k, t = names[key], names[text]
+    rows = frame.join(kept, F.col(k) == F.col("kept"), "left_semi")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(k).orderBy(t))).where("nth = 1").drop("nth")
+    return rows.unionByName(frame.where(F.col(k).isNull())).select(*[F.col(new).alias(c) for c, new in names.items()])

@@ -20,8 +20,6 @@ from opsloom.llm.common import bitmap, in_bitmap, map_batches, prepare, saved
 MEAN_BITS, LEAST, MOST = 5, 12, 4096
 #: A run of repeated chunks counts as a repeated passage from so many bytes on; passages of over 50 words have more.
 LEAST_RUN = 120
-#: Bits of the filter that keeps single chunks from being shuffled a second time: 4 MB, whatever the input.
-FILTER_BITS = 25
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -91,7 +89,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     prepare(docs.sparkSession)
     again = _chunks(docs, key, text, None).groupBy("h").count().where("count > 1").select("h")
-    found = saved(_chunks(docs, key, text, bitmap(again, FILTER_BITS)))
+    found = saved(_chunks(docs, key, text, bitmap(again)))
     far = F.struct(F.col("k").isNull().alias("none"), "k", "start")
     # Written, so that the join deals out both sides on its own and a hot digest's rows can be split among tasks.
     first = saved(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(far).alias("first")).where("n > 1").select("digest", "first"))
