@@ -9,6 +9,10 @@ from opsloom.llm import line_dedup, mixing, ngram_join, quality_rules, sentencep
 from opsloom.llm.common import saved
 from opsloom.llm.queries import PIECE_MODEL, table
 
+#: Shares of expected tokens that the mixture has from documents that are not toxic, and from toxic ones.
+MIX = (0.98, 0.02)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.filtered(docs)
@@ -27,12 +31,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its rate says, so that the domains' expected tokens match the targets of op2.
+    """Each document comes as often as its rate says, so that the domains' expected tokens match MIX.
 
-    The quality rules have taken most texts of low quality away: where that target is out of reach, the rates are
-    those of the least squares.
+    The quality rules have taken the domain of low quality away; what is left is mixed by toxicity. A target for that
+    domain could only be met by repeating the few texts that look a little like it.
     """
-    return mixing.mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
+    return mixing.mixed(docs, mixing.toxic_domains(table(spark, sf_dir, "labels")), MIX)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

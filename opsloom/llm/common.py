@@ -54,6 +54,12 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def row_id(key: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a row's key and text: what repeats both shares them. Never null."""
+    same = (key.isNull(), key, text)
+    return F.xxhash64(*same), F.xxhash64(F.lit("row"), *same)
+
+
 _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -90,7 +96,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             after()
         pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    # Numbered, as dots in names are taken for fields on the way; ``fn`` goes by position.
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:

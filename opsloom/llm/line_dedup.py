@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import bitmap, hot_join, in_bitmap, map_batches, named, prepare, saved
+from opsloom.llm.common import bitmap, hot_join, in_bitmap, map_batches, named, prepare, row_id, saved
 
 #: Lines that the rolling hash looks at, and the mean number of lines in a chunk.
 WINDOW, MEAN_LINES = 2, 3
@@ -55,16 +55,10 @@ def units(lines: list[bytes], extend: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _row_id(key: Column, text: Column) -> tuple[Column, Column]:
-    """128 bits that stand for a row's key and text: what repeats both shares them. Never null."""
-    same = (key.isNull(), key, text)
-    return F.xxhash64(*same), F.xxhash64(F.lit("row"), *same)
-
-
 def _unit_rows(docs: DataFrame, key: str, text: str, extend: bool, only: np.ndarray | None, digest_bytes: int) -> DataFrame:
     """Rows (k, r, v, line, size, digest, body) of the units whose hash may be in the bitmap ``only``; without it (h) alone."""
     t = named(text).cast("string")
-    r, v = _row_id(named(key), t)
+    r, v = row_id(named(key), t)
     frame = docs.select(named(key).alias("k"), t.alias("t"), r.alias("r"), v.alias("v")) if only is not None else docs.select(t.alias("t"))
     at = frame.columns.index("t")
     sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
@@ -142,7 +136,7 @@ def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", extend: bool
     gone = repeated_chunks(docs, key, text, extend, digest_bytes).groupBy("r", "v").agg(F.collect_set(F.struct("line", "size")).alias("drop"))
     keep = [c for c in docs.columns if c.lower() not in ("n_removed_lines", "n_removed_chunks")]
     names = {c: f"c{i}" for i, c in enumerate(keep)}
-    r, v = _row_id(named(key), named(text).cast("string"))
+    r, v = row_id(named(key), named(text).cast("string"))
     frame = docs.select(*[named(c).alias(new) for c, new in names.items()], r.alias("r"), v.alias("v"))
     # The join has dealt the rows out by these two already.
     joined = frame.join(gone, ["r", "v"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("r", "v").orderBy("r"))).select(*names.values(), "drop", "nth")
