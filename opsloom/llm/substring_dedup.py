@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import bitmap, hot_join, in_bitmap, map_batches, named, prepare, row_id, saved
+from opsloom.llm.common import bitmap, hot_join, in_bitmap, map_batches, named, prepare, saved
 
 #: Bytes in a chunk: 2 ** MEAN_BITS on average beyond LEAST, and MOST at most.
 MEAN_BITS, LEAST, MOST = 5, 12, 4096
@@ -54,10 +54,12 @@ def cut_points(data: bytes) -> list[int]:
 
 
 def _chunks(docs: DataFrame, key: str, text: str, only: np.ndarray | None) -> DataFrame:
-    """Rows (k, r, v, start, size, digest, pre, post) of the chunks whose digest may be in the bitmap ``only``; without it (h) of all."""
+    """Rows (k, r, start, size, digest, pre, post) of the chunks whose digest may be in the bitmap ``only``; without it (h) of all.
+
+    ``pre`` and ``post`` are the bytes before and after a chunk, empty where the chunk there is among the rows too.
+    """
     t = named(text).cast("string")
-    r, v = row_id(named(key), t)
-    frame = docs.select(named(key).alias("k"), t.alias("t"), r.alias("r"), v.alias("v"))
+    frame = docs.select(named(key).alias("k"), t.alias("t"), F.xxhash64(t).alias("r"))
     kind = frame.schema["k"].dataType.simpleString()
     sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
@@ -77,17 +79,24 @@ def _chunks(docs: DataFrame, key: str, text: str, only: np.ndarray | None) -> Da
         h = np.frombuffer(b"".join(digests), dtype="<i8")[::2]
         if sent is None:
             return pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
-        take = np.flatnonzero(in_bitmap(sent.value, np.ascontiguousarray(h))).tolist()
+        hit = in_bitmap(sent.value, np.ascontiguousarray(h))
+        take = np.flatnonzero(hit).tolist()
         if not take:
             return None
-        rows = pa.array([owner[i] for i in take])
-        cols = [batch.column(0).take(rows), batch.column(2).take(rows), batch.column(3).take(rows)]
-        cols += [pa.array([spans[i][0] for i in take], pa.int64()), pa.array([spans[i][1] - spans[i][0] for i in take], pa.int64()), pa.array([digests[i] for i in take], pa.binary())]
-        cols += [pa.array([raw[owner[i]][max(0, spans[i][0] - CONTEXT) : spans[i][0]] for i in take], pa.binary())]
-        cols += [pa.array([raw[owner[i]][spans[i][1] : spans[i][1] + CONTEXT] for i in take], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["k", "r", "v", "start", "size", "digest", "pre", "post"])
-
-    return map_batches(frame, cut, "h long" if only is None else f"k {kind}, r long, v long, start long, size long, digest binary, pre binary, post binary")
+        own = np.array(owner)
+        inner = hit[1:] & hit[:-1] & (own[1:] == own[:-1])  # the chunk and the one after it are both here
+        before, after = np.r_[False, inner].tolist(), np.r_[inner, False].tolist()
+        pre, post = [], []
+        for i in take:
+            (a, z), data = spans[i], raw[owner[i]]
+            pre.append(b"" if before[i] else data[max(0, a - CONTEXT) : a])
+            post.append(b"" if after[i] else data[z : z + CONTEXT])
+        rows = pa.array(own[take])
+        cols = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array([spans[i][0] for i in take], pa.int64()), pa.array([spans[i][1] - spans[i][0] for i in take], pa.int64())]
+        cols += [pa.array([digests[i] for i in take], pa.binary()), pa.array(pre, pa.binary()), pa.array(post, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["k", "r", "start", "size", "digest", "pre", "post"])
+
+    return map_batches(frame, cut, "h long" if only is None else f"k {kind}, r long, start long, size long, digest binary, pre binary, post binary")
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -107,7 +116,7 @@ def _shared_end(a: bytes, b: bytes) -> int:
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_bytes: int = LEAST_RUN) -> DataFrame:
-    """Passages that occurred before: (k, start, size, first_k, r, v), in bytes of the text's UTF-8; r and v stand for key and text.
+    """Passages that occurred before: (k, start, size, first_k, r), in bytes of the text's UTF-8; r is a hash of the text.
 
     ``first_k`` is the least key of a text that holds one of the passage's chunks first. The first occurrence of a
     chunk is the one with the least (key, start); it is no row. Null and empty texts have no passage; rows with a null
@@ -117,28 +126,29 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     prepare(docs.sparkSession)
     again = _chunks(docs, key, text, None).groupBy("h").count().where("count > 1").select("h")
     found = saved(_chunks(docs, key, text, bitmap(again)))
-    far = F.struct(F.col("k").isNull().alias("none"), "k", "start", "r", "v", "pre", "post")
+    far = F.struct(F.col("k").isNull().alias("none"), "k", "start", "r", "pre", "post")
     first = saved(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(far).alias("first")).where("n > 1"))
-    repeats = hot_join(found, first, "digest", "n").where("not (r = first.r and v = first.v and start = first.start)")
-    repeats = repeats.select("k", "r", "v", "start", "size", F.col("first.k").alias("first_k"), "pre", "post", F.col("first.pre").alias("first_pre"), F.col("first.post").alias("first_post"))
-    repeats = repeats.dropDuplicates(["r", "v", "start"])
-    by_text = Window.partitionBy("r", "v").orderBy("start")
+    repeats = hot_join(found, first, "digest", "n").where("not (k <=> first.k and r = first.r and start = first.start)")
+    repeats = repeats.select("k", "r", "start", "size", F.col("first.k").alias("first_k"), "pre", "post", F.col("first.pre").alias("first_pre"), F.col("first.post").alias("first_post"))
+    by_text = Window.partitionBy("k", "r").orderBy("start")
+    # Rows that repeat key and text have each chunk again, beside it in this order.
+    once = repeats.withColumn("copy", F.lag("start").over(by_text).eqNullSafe(F.col("start"))).where("not copy").drop("copy")
     opens = (F.lag(F.col("start") + F.col("size")).over(by_text).eqNullSafe(F.col("start"))).cast("int")
-    runs = repeats.withColumn("opens", 1 - opens).withColumn("run", F.sum("opens").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = once.withColumn("opens", 1 - opens).withColumn("run", F.sum("opens").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
     ends = [F.min_by("pre", "start").alias("pre"), F.min_by("first_pre", "start").alias("first_pre"), F.max_by("post", "start").alias("post"), F.max_by("first_post", "start").alias("first_post")]
-    runs = runs.groupBy("r", "v", "run").agg(F.first("k").alias("k"), F.min("start").alias("start"), F.sum("size").alias("size"), F.min("first_k").alias("first_k"), *ends)
-    runs = runs.where(F.col("size") + 2 * CONTEXT >= least_bytes).select("k", "start", "size", "first_k", "r", "v", "pre", "first_pre", "post", "first_post")
+    runs = runs.groupBy("k", "r", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.min("first_k").alias("first_k"), *ends)
+    runs = runs.where(F.col("size") + 2 * CONTEXT >= least_bytes).select("k", "start", "size", "first_k", "r", "pre", "first_pre", "post", "first_post")
 
     def lengthen(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pre, first_pre, post, first_post = (batch.column(i).to_pylist() for i in range(6, 10))
+        pre, first_pre, post, first_post = (batch.column(i).to_pylist() for i in range(5, 9))
         left = np.array(list(map(_shared_end, pre, first_pre)), dtype=np.int64)
         right = np.array(list(map(_shared, post, first_post)), dtype=np.int64)
         start, size = batch.column(1).to_numpy() - left, batch.column(2).to_numpy() + left + right
-        cols = [batch.column(0), pa.array(start), pa.array(size), batch.column(3), batch.column(4), batch.column(5)]
-        return pa.RecordBatch.from_arrays(cols, names=["k", "start", "size", "first_k", "r", "v"])
+        cols = [batch.column(0), pa.array(start), pa.array(size), batch.column(3), batch.column(4)]
+        return pa.RecordBatch.from_arrays(cols, names=["k", "start", "size", "first_k", "r"])
 
     kind = runs.schema["k"].dataType.simpleString()
-    return map_batches(runs, lengthen, f"k {kind}, start long, size long, first_k {kind}, r long, v long").where(F.col("size") >= least_bytes)
+    return map_batches(runs, lengthen, f"k {kind}, start long, size long, first_k {kind}, r long").where(F.col("size") >= least_bytes)
 
 
 def remove(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,11 +156,10 @@ def remove(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str
 
     Rows that repeat both key and text lose the same passages; the first occurrence of each stays in some text.
     """
-    spans = passages.groupBy("r", "v").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = passages.groupBy("k", "r").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    r, v = row_id(named(key), named(text).cast("string"))
-    frame = docs.select(*[named(c).alias(new) for c, new in names.items()], r.alias("r"), v.alias("v"))
-    frame = frame.join(spans, ["r", "v"], "left").select(*names.values(), "spans")
+    frame = docs.select(*[named(c).alias(new) for c, new in names.items()], F.xxhash64(named(text).cast("string")).alias("t"))
+    frame = frame.join(spans, (F.col("t") == F.col("r")) & F.col(names[key]).eqNullSafe(F.col("k")), "left").select(*names.values(), "spans")
     at, columns = docs.columns.index(text), docs.columns
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
