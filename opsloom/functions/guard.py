@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JError
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
 
 #: Roots of plans that only read.
 _WRITES = re.compile(r"Command|Insert|Create|Drop|Alter|Replace|Delete|Update|Merge|Truncate|Set|Use|Load|Refresh|Cache|Analyze|Add|Grant")
 
+#: Functions that call into the machine: a query that names one does not only read.
+_CALLS = {"reflect", "java_method", "try_reflect"}
+
 
 class Refused(ValueError):
     """The text is not one read-only statement."""
@@ -24,9 +28,16 @@ def check_read_only(spark: SparkSession, text: str) -> None:
     kinds, todo = [], [plan]
     while todo:
         node = todo.pop()
-        kinds.append(node.getClass().getSimpleName())
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
+        kind = node.getClass().getSimpleName()
+        kinds.append(kind)
+        if kind == "UnresolvedFunction" and (name := node.nameParts().last().lower()) in _CALLS:
+            raise Refused(f"calls {name}")
+        for part in ("children", "expressions", "innerChildren", "plan"):  # sub-queries and named queries too
+            try:
+                found = getattr(node, part)()
+            except Py4JError:  # plans have expressions, expressions may have a plan
+                continue
+            todo += [found] if part == "plan" else [found.apply(i) for i in range(found.size())]
     bad = [k for k in kinds if _WRITES.match(k) or k.endswith("Command")]
     if bad:
         raise Refused(f"writes or changes the session: {bad[0]}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 MASKS = (
     ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<guid>"),
     ("0x[0-9a-fA-F]+", "<hex>"),
-    ("[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}", "<ip>"),
+    ("\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b", "<ip>"),
     ("[0-9]+", "<n>"),
 )
 
@@ -93,3 +93,77 @@ def glob_match(name: Column, pattern: str) -> Column:
 def literal_like(text: Column, part: Column) -> Column:
     """Whether ``text`` holds ``part`` literally, any case."""
     return F.contains(F.lower(text), F.lower(part))
+
+
+def stuff(text: Column, start: int, size: int, new: str) -> Column:
+    """``size`` characters from ``start`` replaced by ``new``; null where ``start`` lies outside the text."""
+    inside = (F.lit(start) >= 1) & (F.lit(start) <= F.char_length(text)) & (F.lit(size) >= 0)
+    return F.when(inside, F.overlay(text, F.lit(new), start, size))
+
+
+# The layouts of dates that are read, the most exact first; a fraction of a second is left out.
+LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+
+
+def parsed_time(text: Column) -> Column:
+    """A date, with minutes or seconds or without, with ``T`` or a blank between; null for anything else."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), "^(\\d{4}-\\d\\d-\\d\\d)T", "$1 "), "(:\\d\\d:\\d\\d)\\.\\d+$", "$1")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(layout)) for layout in LAYOUTS])
+
+
+# Whole-number types with their ranges, and the words of a bit.
+RANGES = {"tinyint": (0, 255), "smallint": (-32768, 32767), "int": (-2147483648, 2147483647), "bigint": (-9223372036854775808, 9223372036854775807)}
+BITS = {"1": "1", "0": "0", "true": "1", "false": "0"}
+
+
+def typed_text(value: Column, kind: str, size: int | None = None) -> Column:
+    """The text of ``value`` as a parameter of type ``kind`` has it; null where it is no such value.
+
+    Numbers keep within their range, ``varchar`` is ASCII, and ``size`` counts UTF-16 units, as the server does.
+    """
+    if kind in RANGES:
+        low, high = RANGES[kind]
+        n = value.try_cast("bigint")
+        return F.when(F.trim(value).rlike("^[+-]?[0-9]+$") & n.between(low, high), n.cast("string"))
+    if kind == "bit":
+        out = F.lit(None).cast("string")
+        for word, bit in BITS.items():
+            out = F.when(F.lower(F.trim(value)) == word, bit).otherwise(out)
+        return out
+    if kind == "datetime":
+        return F.when(~value.rlike("\\.\\d"), F.date_format(parsed_time(value), "yyyy-MM-dd HH:mm:ss"))
+    units = F.octet_length(F.encode(value, "UTF-16BE")) / 2
+    ok = F.lit(True) if size is None else units <= size
+    return F.when(ok & (F.lit(kind == "nvarchar") | ~value.rlike("[^\\x00-\\x7F]")), value)
+
+
+def safe_name(name: Column) -> Column:
+    """A file name of letters, digits, dots, dashes and underscores; what had to change gets a hash, so that no two names meet."""
+    plain = F.substring(F.regexp_replace(name, "[^A-Za-z0-9._-]", "_"), 1, 80)
+    same = (plain == name) & ~name.rlike("^\\.|~")
+    return F.when(same, plain).otherwise(F.concat(plain, F.lit("~"), F.substring(F.sha2(name, 256), 1, 8)))
+
+
+def effective(own: Column, instance: Column, cpus: Column) -> Column:
+    """A degree of parallelism: the database's own value, else the instance's, else all processors (0 is none); never more than these."""
+    return F.least(F.coalesce(F.nullif(own, F.lit(0)), F.nullif(instance, F.lit(0)), cpus), cpus)
+
+
+def plan_format(text: Column) -> Column:
+    """What kind of plan a text holds by its beginning, or why it is none."""
+    bare = F.ltrim(F.regexp_replace(text, "^\ufeff", ""))
+    return (
+        F.when(F.coalesce(bare, F.lit("")) == "", "error: empty")
+        .when(bare.rlike("^<") & bare.contains("<ShowPlanXML"), "showplan xml")
+        .when(bare.startswith("<"), "error: xml without a plan")
+        .when(bare.rlike("^\\[\\s*\\{\\s*\"Plan\""), "explain json array")
+        .when(bare.rlike("^\\{\\s*\"Plan\""), "explain json object")
+        .when(bare.rlike("^[\\[{]"), "tool json")
+        .when(bare.rlike("\\(cost=[0-9.]+\\.\\.[0-9.]+ rows=[0-9]+"), "explain text")
+        .otherwise("error: unknown")
+    )
+
+
+def resolution(object_id: Column, is_system: Column) -> Column:
+    """What an outer join found of an object: nothing, one of the system's, one of the users'."""
+    return F.when(object_id.isNull(), "unresolved").when(is_system, "system").otherwise("user")

@@ -50,3 +50,16 @@ def or_sentinel(df: DataFrame, **values: object) -> DataFrame:
     row = df.sparkSession.range(1).select(*[F.lit(values.get(c)).cast(types[c]).alias(c) for c in df.columns])
     empty = df.limit(1).agg(F.count("*").alias("__n")).where("__n = 0")
     return df.unionByName(row.join(F.broadcast(empty)).select(*df.columns))
+
+
+def writes_and_top_reads(df: DataFrame, is_write: Column, order: list[Column], most: int) -> DataFrame:
+    """All writes, and the first ``most`` reads in ``order``."""
+    return df.where(is_write).unionByName(df.where(~is_write).orderBy(*order).limit(most))
+
+
+def capped_lists(df: DataFrame, keys: list[str], value: str, order: str, most: int) -> DataFrame:
+    """Per group its first ``most`` values as a list, and how many there are in all: the cap never stops the count."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    first = df.withColumn("nth", nth).where(F.col("nth") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("nth", F.col(value).alias("v")))).alias("kept"))
+    counted = df.groupBy(*keys).agg(F.count("*").alias("n"))  # combined before the shuffle
+    return counted.join(first, keys, "left").select(*keys, "n", F.transform("kept", lambda x: x["v"]).alias("kept"), (F.col("n") > most).alias("truncated"))

@@ -43,7 +43,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIGNATURE_SQL = (
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<guid>', 'g'), "
-    "'0x[0-9a-fA-F]+', '<hex>', 'g'), '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}', '<ip>', 'g'), '[0-9]+', '<n>', 'g')"
+    "'0x[0-9a-fA-F]+', '<hex>', 'g'), '\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b', '<ip>', 'g'), '[0-9]+', '<n>', 'g')"
 )
 
 
@@ -240,7 +240,7 @@ def self_join_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    by = s.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n_suppliers"))
+    by = s.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n_suppliers"))
     one = s.agg(F.count("*").alias("total"))
     return by.join(F.broadcast(one)).select("n_name", "n_suppliers", (F.col("n_suppliers") / F.col("total")).alias("share"))
 
@@ -251,9 +251,9 @@ def semi_join_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@register("anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @register(
@@ -291,7 +291,7 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
     alias = F.when(F.col("n_nationkey") % 3 == 0, "ring").when(F.col("n_nationkey") % 3 == 1, "widget").otherwise("red")
-    return words.join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", alias.alias("word"))), "word").select("p_partkey", "word", "n_nationkey")
+    return words.join(table(spark, sf_dir, "nation").select("n_nationkey", alias.alias("word")), "word").select("p_partkey", "word", "n_nationkey")
 
 
 _COPY = ["p_name", "p_brand", "p_size"]
@@ -460,15 +460,21 @@ def tagged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("customer", "c_nationkey").unionByName(part("supplier", "s_nationkey"))
 
 
-@register("union_sentinel", "SELECT CAST(NULL AS BIGINT) AS o_orderkey, 'none' AS o_orderstatus")
+@register(
+    "union_sentinel",
+    "WITH big AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000), none AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice < 0) "
+    "SELECT * FROM big UNION ALL SELECT NULL, 'none' WHERE NOT EXISTS (SELECT 1 FROM big) UNION ALL SELECT * FROM none UNION ALL SELECT NULL, 'none' WHERE NOT EXISTS (SELECT 1 FROM none)",
+)
 def union_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bounded.or_sentinel(table(spark, sf_dir, "orders").where("o_orderkey < 0").select("o_orderkey", "o_orderstatus"), o_orderstatus="none")
+    o = table(spark, sf_dir, "orders")
+    parts = [bounded.or_sentinel(o.where(w).select("o_orderkey", "o_orderstatus"), o_orderstatus="none") for w in ("o_totalprice > 1000", "o_totalprice < 0")]
+    return parts[0].unionByName(parts[1])
 
 
-@register("except_rows", "SELECT c_nationkey, c_mktsegment FROM customer EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 0")
+@register("except_rows", "SELECT c_nationkey, c_mktsegment FROM customer EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000")
 def except_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.select("c_nationkey", "c_mktsegment").subtract(c.where("c_acctbal > 0").select("c_nationkey", "c_mktsegment"))
+    return c.select("c_nationkey", "c_mktsegment").subtract(c.where("c_acctbal > 9000").select("c_nationkey", "c_mktsegment"))
 
 
 @register("fleet_union", "SELECT 'a' AS source, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 'b', r_regionkey, r_name FROM region")
