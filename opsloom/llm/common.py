@@ -133,6 +133,10 @@ MOST_BITS = 28
 MOST_HOT = 4096
 
 
+#: Neighbours of a node from which on its edges are dealt out among tasks.
+HOT_DEGREE = 10_000
+
+
 def hot_join(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataFrame:
     """Inner join of ``rows`` with ``counted`` (a row a key, of fixed length; ``count`` tells the key's rows) on ``key``.
 
@@ -152,19 +156,23 @@ def hot_join(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataF
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b of one orderable type): rows (node, component), component the least node.
 
-    Alternates large-star and small-star steps; each is written to the shared folder, and the one before deleted. Both
-    take only minima over a node's neighbours, which are combined before they are shuffled, and join them to the
-    edges, hot centres by broadcast. Nodes without an edge to another node have no row.
+    Alternates large-star and small-star steps; each round is written to the shared folder, and the one before deleted.
+    Both steps take only minima over a node's neighbours, which are combined before they are shuffled, and join them to
+    the edges; where a node has over HOT_DEGREE neighbours, those of hot centres by broadcast. Nodes without an edge to another node have no row.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-        large = saved(hot_join(both.where("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        nearest = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        degree = both.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+        hot = degree > HOT_DEGREE  # then what is joined is written first, as it is read some times over
+        keep = saved if hot else lambda df: df
+        join = hot_join if hot else lambda rows, counted, key, count: rows.join(counted.drop(count), key)
+        least = keep(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = keep(join(both.where("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        nearest = keep(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        then = saved(hot_join(large, nearest, "a", "n").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct())
+        then = saved(join(large, nearest, "a", "n").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct())
         discarded(now, least, large, nearest)
         now = then
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
