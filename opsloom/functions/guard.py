@@ -29,7 +29,6 @@ def check_read_only(spark: SparkSession, text: str) -> None:
     while todo:
         node = todo.pop()
         kind = node.getClass().getSimpleName()
-        kinds.append(kind)
         if kind == "UnresolvedFunction" and (name := node.nameParts().last().lower()) in _CALLS:
             raise Refused(f"calls {name}")
         for part in ("children", "expressions", "innerChildren", "plan"):  # sub-queries and named queries too
@@ -37,6 +36,8 @@ def check_read_only(spark: SparkSession, text: str) -> None:
                 found = getattr(node, part)()
             except Py4JError:  # plans have expressions, expressions may have a plan
                 continue
+            if part == "expressions":
+                kinds.append(kind)
             todo += [found] if part == "plan" else [found.apply(i) for i in range(found.size())]
     bad = [k for k in kinds if _WRITES.match(k) or k.endswith("Command")]
     if bad:

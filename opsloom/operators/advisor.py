@@ -101,8 +101,9 @@ def confront(cands: DataFrame, indexes: DataFrame) -> DataFrame:
     """
     eq = F.col("eq_count") if "eq_count" in cands.columns else F.lit(0)
     may = F.col("replaceable") if "replaceable" in indexes.columns else F.lit(True)
-    pairs = cands.select("candidate_id", "table_id", "keys", "includes", F.least(eq, F.size("keys")).cast("int").alias("eq")).join(
-        indexes.select("table_id", "index_id", "is_constraint", F.col("keys").alias("ikeys"), F.col("includes").alias("iincludes"), may.alias("may")), "table_id", "left"
+    text = lambda c: F.col(c).cast("array<string>")  # noqa: E731  columns may be named by number
+    pairs = cands.select("candidate_id", "table_id", text("keys").alias("keys"), text("includes").alias("includes"), F.least(eq, F.size("keys")).cast("int").alias("eq")).join(
+        indexes.select("table_id", "index_id", "is_constraint", text("keys").alias("ikeys"), text("includes").alias("iincludes"), may.alias("may")), "table_id", "left"
     )
     same_keys = leads(F.col("keys"), F.col("eq"), F.col("ikeys"))
     covers = same_keys & (F.size(F.array_except(_names(F.array_union("keys", "includes")), _names(F.array_union("ikeys", "iincludes")))) == 0)

@@ -21,7 +21,8 @@ def read_workspace(spark: SparkSession, path: str, schema: StructType | str) ->
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A journal's entries, and the lines that are no entry (a last line cut short, say)."""
     schema = StructType.fromDDL(f"{JOURNAL}, {CORRUPT} string")
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("row")).select("row.*")
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
