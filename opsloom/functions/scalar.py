@@ -44,7 +44,7 @@ def int_time_seconds(number: Column) -> Column:
 
 def seconds_between(start: Column, end: Column) -> Column:
     """Second boundaries crossed between two timestamps."""
-    return F.unix_seconds(end) - F.unix_seconds(start)
+    return F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))
 
 
 def ratio(x: Column, y: Column) -> Column:

@@ -123,16 +123,19 @@ def proc_source(objects: DataFrame, modules: DataFrame, parameters: DataFrame, o
     return objects.where(F.col("object_id") == object_id).join(modules.select("object_id", "definition"), "object_id").join(listed, "object_id", "left").select("schema_name", F.col("name").alias("object_name"), "type_desc", "parameters", "definition")
 
 
+# Texts that read one row's value from a trigger's row sets.
+SCALAR_READS = ("%=%(SELECT%inserted%", "%=%(SELECT%deleted%", "%SELECT%@%=%FROM%inserted%", "%SELECT%@%=%FROM%deleted%")
+
+
 def triggers_inventory(triggers: DataFrame, objects: DataFrame, modules: DataFrame) -> DataFrame:
     """DML triggers with hints on what their text does (0/1)."""
     has = lambda *patterns: F.when(_any([F.col("definition").ilike(p) for p in patterns]), 1).otherwise(0)
     o = objects.select("object_id", F.col("schema_name").alias("trigger_schema"), "modify_date", "is_ms_shipped")
     parent = objects.select(F.col("object_id").alias("parent_id"), F.col("schema_name").alias("parent_schema"), F.col("name").alias("parent_object"))
     rows = triggers.where("parent_class = 1").join(o, "object_id").where("not is_ms_shipped").join(modules.select("object_id", "definition"), "object_id").join(parent, "parent_id", "left")
-    reads = [f"%{form}%{t}%" for form in ("=%(SELECT", "SELECT%@%=%FROM") for t in ("inserted", "deleted")]
     return rows.select(
         "parent_schema", "parent_object", "trigger_schema", F.col("name").alias("trigger_name"), "is_disabled", "is_instead_of_trigger", "modify_date", has("%NOCOUNT%").alias("sets_nocount"), has("%@@ROWCOUNT%").alias("reads_rowcount"),
-        has(*reads).alias("scalar_from_inserted"), has("%CURSOR%").alias("has_cursor"), has("%ROLLBACK%").alias("has_rollback"), has("%BEGIN TRAN%").alias("has_transaction"), F.length(F.rtrim("definition")).alias("definition_length"),
+        has(*SCALAR_READS).alias("scalar_from_inserted"), has("%CURSOR%").alias("has_cursor"), has("%ROLLBACK%").alias("has_rollback"), has("%BEGIN TRAN%").alias("has_transaction"), F.length(F.rtrim("definition")).alias("definition_length"),
     ).orderBy("parent_schema", "parent_object", "trigger_name")
 
 
