@@ -199,7 +199,7 @@ def report_index_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "report_missing_indexes",
-    oracle("""SELECT * FROM (WITH g AS (SELECT *, avg_total_user_cost * avg_user_impact * (user_seeks + user_scans) AS score FROM s_missing_details JOIN s_missing_stats USING (group_handle)),
+    oracle("""SELECT * REPLACE (CAST(rank AS INT) AS rank, CAST(seq AS INT) AS seq) FROM (WITH g AS (SELECT *, avg_total_user_cost * avg_user_impact * (user_seeks + user_scans) AS score FROM s_missing_details JOIN s_missing_stats USING (group_handle)),
     t AS (SELECT *, row_number() OVER (ORDER BY total DESC, object_id) AS rank FROM (SELECT object_id, sum(score) AS total, count(*) AS n FROM g GROUP BY object_id) QUALIFY rank <= 3)
     SELECT rank, 'table' AS row_kind, 1 AS seq, object_id, total AS score, CAST(n AS VARCHAR) AS columns FROM t
     UNION ALL SELECT * FROM (SELECT rank, 'missing', row_number() OVER (PARTITION BY object_id ORDER BY score DESC, group_handle) AS seq, object_id, score, concat_ws('; ', equality_columns, inequality_columns, included_columns) FROM g JOIN t USING (object_id)) WHERE seq <= 8
