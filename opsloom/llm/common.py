@@ -108,15 +108,18 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     """
     hashes = saved(hashes)
     bits = min(MOST_BITS, max(16, math.ceil(math.log2(8 * max(hashes.count(), 1)))))
-    h = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
-    words = (
-        hashes.select(F.shiftright(h, 6).alias("word"), F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bit"))
-        .toPandas()
+    at = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark counts a bitmap's positions from 1
+    # Rows of PIECE bytes, not of a word: the driver gets little more than the bitmap itself.
+    pieces = (
+        hashes.select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("position"))
+        .repartition("piece")
+        .groupBy("piece")
+        .agg(F.bitmap_construct_agg("position").alias("bits"))
+        .toArrow()
     )
-    out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bit"].to_numpy(dtype=np.int64)
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for piece, held in zip(pieces["piece"].to_pylist(), pieces["bits"]):
+        out[(piece - 1) * PIECE : piece * PIECE] = np.frombuffer(held.as_buffer(), dtype=np.uint8)
     discarded(hashes)
     return out.view(np.uint64)
 
@@ -129,6 +132,8 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 #: A bitmap has 32 MB at most.
 MOST_BITS = 28
+#: Bytes in each of Spark's bitmaps; their bits are numbered from the lowest of the first byte.
+PIECE = 4096
 #: Keys that hold more than such a part of a table's rows are hot; so there are no more of them than this.
 MOST_HOT = 4096
 
