@@ -171,7 +171,11 @@ MAINTENANCE = ("BACKUP%", "RESTORE%", "ALTER%", "DBCC%", "CREATE INDEX%")
 
 
 def maintenance_in_progress(requests: DataFrame, sessions: DataFrame, as_of: str, own_session: int, most: int = 100) -> DataFrame:
-    """Maintenance requests with what blocks them and how many they block."""
+    """Maintenance requests with what blocks them and how many they block.
+
+    The first ``most`` are taken before the left joins, which lose no row: most requests are blocked by none, and their
+    null keys would meet in one task. Should a blocker have several rows, the same order bounds the result once more.
+    """
     r = requests.withColumn("blocked_by", F.nullif("blocking_session_id", F.lit(0)))
     blocks = r.where("blocked_by is not null").groupBy(F.col("blocked_by").alias("session_id")).agg(F.count("*").alias("blocks_count"))
     by_request = requests.select(F.col("session_id").alias("blocked_by"), F.col("command").alias("blocker_command"), F.col("wait_type").alias("blocker_wait_type"))
@@ -179,6 +183,7 @@ def maintenance_in_progress(requests: DataFrame, sessions: DataFrame, as_of: str
     c = F.col("command")
     wanted = _any([c.like(p) for p in MAINTENANCE]) | (c == "KILLED/ROLLBACK") | (F.col("percent_complete") > 0)
     rows = r.where((F.col("session_id") != own_session) & wanted).join(sessions.select("session_id", "login_name"), "session_id")
+    rows = rows.orderBy("start_time", "session_id").limit(most)
     rows = rows.join(by_session, "blocked_by", "left").join(by_request, "blocked_by", "left").join(blocks, "session_id", "left").orderBy("start_time", "session_id").limit(most)
     return rows.select(
         "session_id", "command", "status", _iso("start_time").alias("started"), seconds_between(F.col("start_time"), F.lit(as_of).cast("timestamp")).alias("elapsed_s"), F.col("percent_complete").cast("decimal(5,1)").alias("percent_complete"),
